@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import packing, token_counts
+from tidegrid.llm import chat, content_store, packing, token_counts, warc
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -24,9 +24,57 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), BYTE_BPE, limit=1024, keep_table=False)
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.archive_and_read(table(spark, sf_dir, "pages"), min_revisit_bytes=0)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP4_SQL = """
+with p as (select page_id, coalesce(html, '') as html, strlen(coalesce(html, '')) as payload_bytes, sha1(coalesce(html, '')) as h from pages),
+f as (select h, payload_bytes, min(page_id) as first from p group by all),
+g as (select h, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((cast('0x' || substr(h, 1 + 10 * (i // 8), 10) as bigint) >> (35 - 5 * (i % 8))) & 31)::int, 1), '' order by i) as payload_digest
+      from (select distinct h from p), (select unnest(range(32)) as i) group by h)
+select page_id, payload_bytes, payload_digest,
+       case when page_id is null and first is not null or page_id > first then 'revisit' else 'response' end as record_type,
+       case when page_id is null and first is not null or page_id > first then first end as refers_to
+from p join f using (h, payload_bytes) join g using (h)
+"""
+
+
+def op5_content_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = content_store.store_and_read(table(spark, sf_dir, "documents"), BYTE_BPE)
+    return found.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    extra = spark.range(2).select(F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.read_digests(chat.format_conversations(rows))
+
+
+OP10_SQL = """
+with r as (select conv_id, turn, role, text from conversations union all
+  select * from (values (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')) v(conv_id, turn, role, text)),
+c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text, role as r0, text as t0 from r),
+e as (select *, replace(replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '[', '&#91;'), chr(10), '&#10;') as er, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '[', '&#91;') as et from c)
+select conv_id, count(*) as n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, r0 nulls first, t0 nulls first)) as turns_sha256,
+       coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn nulls first, r0 nulls first, t0 nulls first) filter (role = 'assistant'), '')) as loss_sha256,
+       sum(length(er) + length(et) + 24)::bigint as formatted_chars
+from e group by conv_id
+"""
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op3_token_counts": op3_token_counts,
+    "op4_warc": op4_warc,
+    "op5_content_store": op5_content_store,
+    "op10_chat_formatting": op10_chat_formatting,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_warc": OP4_SQL,
+    "op10_chat_formatting": OP10_SQL,
+}
