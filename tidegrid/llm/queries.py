@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import chat, content_store, packing, token_counts, warc
+from tidegrid.llm import chat, content_store, decontaminate, packing, quality, token_counts, warc
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -20,6 +20,26 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), WORD_BPE, capacity=2048)
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=10).drop("items")
+
+
+OP2_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+OP2_SQL = f"""
+with d as (select doc_id, {OP2_WORDS} as w from documents),
+b as (select item_id, {OP2_WORDS} as w from benchmark),
+bw as (select distinct item_id, array_to_string(win, ' ') as key, len(win) as m from (
+  select item_id, unnest(case when len(w) >= 10 then list_transform(range(1, len(w) - 8), lambda i: list_slice(w, i, i + 9)) when len(w) > 0 then [w] else [] end) as win from b)),
+p as (select doc_id, m, i, array_to_string(list_slice(w, i, i + m - 1), ' ') as key from (
+  select doc_id, w, m, unnest(range(1, len(w) - m + 2)) as i from d, (select distinct m from bw))),
+o as (select p.doc_id, p.i, p.m, bw.item_id from p join bw using (key, m)),
+h as (select doc_id, count(distinct j) as n_hit from (select doc_id, unnest(range(i, i + m)) as j from o) group by doc_id),
+t as (select doc_id, count(*) as n_items, string_agg(item_id::varchar, ',' order by item_id::varchar) as items from (select distinct doc_id, item_id from o) group by doc_id)
+select d.doc_id, len(d.w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join h using (doc_id) left join t using (doc_id)
+"""
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), BYTE_BPE, limit=1024, keep_table=False)
 
@@ -46,6 +66,10 @@ def op5_content_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), sample=8000)
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.range(2).select(F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
@@ -68,13 +92,16 @@ from e group by conv_id
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_decontamination": op2_decontamination,
     "op3_token_counts": op3_token_counts,
     "op4_warc": op4_warc,
     "op5_content_store": op5_content_store,
+    "op7_quality_classifier": op7_quality_classifier,
     "op10_chat_formatting": op10_chat_formatting,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_decontamination": OP2_SQL,
     "op4_warc": OP4_SQL,
     "op10_chat_formatting": OP10_SQL,
 }
