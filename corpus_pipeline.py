@@ -1,13 +1,67 @@
-"""Corpus pipeline: each stage works on all rows that the stage before it kept."""
+"""Corpus pipeline: each stage works on all rows that the stage before it kept.
+
+Quality classifier, n-gram Jaccard join, benchmark decontamination and best-fit packing, in this order. All
+stages but the last return the columns of ``documents``; each result is written to the shared folder as
+Parquet and read again. SQL can express neither the classifier nor the packing, so there is no ORACLE_SQL;
+tests/llm/test_pipeline.py holds the stages against brute force.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidegrid.llm import decontaminate, packing, quality, set_join
+from tidegrid.llm.queries import WORD_BPE, table
+from tidegrid.llm.shared import materialise, release
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier scores at 0.5 or more; it is fitted on a sample of the labelled ones."""
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).where("quality_score >= 0.5").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest doc_id, of each group of similar ones (5-word shingles, 0.8).
+
+    Rows without an id stay, as do rows that repeat the id that stays.
+    """
+    found = set_join.jaccard_components(docs, threshold="0.8", n=5)
+    gone = found.where("component_id is not null and doc_id is not null and component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(materialise(gone, "gone"), "doc_id", "left_anti").select(*docs.columns)
+
+
+def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no 10-word window of a benchmark item occurs."""
+    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), n=10)
+    gone = found.where("contaminated and doc_id is not null").select("doc_id").distinct()
+    return docs.join(materialise(gone, "leaks"), "doc_id", "left_anti").select(*docs.columns)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences of at most 2048 tokens."""
+    return packing.pack(docs, WORD_BPE, capacity=2048)
+
+
+STAGES = [
+    ("quality_classifier", quality_filter),
+    ("ngram_jaccard_join", near_duplicates),
+    ("benchmark_decontamination", clean_of_benchmark),
+    ("best_fit_packing", best_fit_packing),
+]
 
-STAGES: list = []
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
-    raise NotImplementedError
+    docs, before = table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = materialise(docs, name)
+            if before is not None:
+                release(before)
+            before = docs
+    return docs

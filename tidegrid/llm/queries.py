@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import chat, content_store, decontaminate, packing, quality, token_counts, warc
+from tidegrid.llm import chat, content_store, decontaminate, packing, quality, set_join, token_counts, warc
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -66,6 +66,25 @@ def op5_content_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return set_join.jaccard_components(table(spark, sf_dir, "documents"), threshold="0.9", n=3)
+
+
+OP6_SQL = """
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents),
+s as (select doc_id, list_sort(list_distinct(case when len(w) >= 3 then list_transform(range(1, len(w) - 1), lambda i: array_to_string(list_slice(w, i, i + 2), ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end)) as g from d),
+k as (select doc_id, len(g) as n, md5(array_to_string(g, chr(10))) as h, g from s),
+u as (select h, any_value(n) as n, any_value(g) as g, min(doc_id) as rep from k where n > 0 group by h),
+e as (select rep, n, unnest(g) as x from u),
+c as (select a.rep as a, b.rep as b, count(*) as shared, any_value(a.n) as na, any_value(b.n) as nb from e a join e b on a.x = b.x and a.rep < b.rep and a.n * 100 >= 90 * b.n and b.n * 100 >= 90 * a.n group by 1, 2),
+l as (select a, b from c where 100 * shared >= 90 * (na + nb - shared)),
+m as (select a, b from l union all select b, a from l),
+r(v, root) as (select rep, rep from u union select m.b, r.root from r join m on m.a = r.v and r.root < m.b),
+f as (select v, min(root) as root from r group by v)
+select k.doc_id, k.n as n_shingles, coalesce(f.root, k.doc_id) as component_id from k left join u using (h) left join f on f.v = u.rep
+"""
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), sample=8000)
 
@@ -96,6 +115,7 @@ QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op4_warc": op4_warc,
     "op5_content_store": op5_content_store,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_quality_classifier": op7_quality_classifier,
     "op10_chat_formatting": op10_chat_formatting,
 }
@@ -103,5 +123,6 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op2_decontamination": OP2_SQL,
     "op4_warc": OP4_SQL,
+    "op6_jaccard_join": OP6_SQL,
     "op10_chat_formatting": OP10_SQL,
 }
