@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import chat, content_store, decontaminate, packing, quality, set_join, token_counts, warc
+from tidegrid.llm import chat, content_store, decontaminate, licenses, packing, quality, set_join, token_counts, warc
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -89,6 +89,24 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), sample=8000)
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"), share=0.8).drop("matches")
+
+
+_NOTICES = ", ".join("('{}', '{}')".format(i, t.replace("'", "''")) for i, t in licenses.TEMPLATES)
+OP9_SQL = f"""
+with t as (select license_id, {OP2_WORDS} as w from (values {_NOTICES}) v(license_id, text)),
+tg as (select license_id, greatest(8, 2 ** ceil(log2(len(w))))::bigint as c, list_distinct(list_transform(range(1, greatest(len(w) - 2, 1) + 1), lambda i: array_to_string(list_slice(w, i, i + 2), ' '))) as g from t),
+te as (select license_id, c, len(g) as n, unnest(g) as x from tg),
+d as (select doc_id, {OP2_WORDS} as w from documents),
+p as (select doc_id, i - 1 as pos, array_to_string(list_slice(w, i, i + 2), ' ') as x from (select doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) as i from d where len(w) > 0)),
+m as (select doc_id, license_id, n, x, pos // c - k as win from p join te using (x), (values (0), (1)) kk(k)),
+h as (select distinct doc_id, license_id from (select doc_id, license_id, win, n, count(distinct x) as f from m group by all) where f >= 0.8 * n)
+select d.doc_id, count(license_id) as n_licenses, coalesce(string_agg(license_id, ',' order by license_id), '') as license_ids
+from d left join h using (doc_id) group by d.doc_id
+"""
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.range(2).select(F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
@@ -117,6 +135,7 @@ QUERIES = {
     "op5_content_store": op5_content_store,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_quality_classifier": op7_quality_classifier,
+    "op9_license_scan": op9_license_scan,
     "op10_chat_formatting": op10_chat_formatting,
 }
 
@@ -124,5 +143,6 @@ ORACLE_SQL: dict[str, str] = {
     "op2_decontamination": OP2_SQL,
     "op4_warc": OP4_SQL,
     "op6_jaccard_join": OP6_SQL,
+    "op9_license_scan": OP9_SQL,
     "op10_chat_formatting": OP10_SQL,
 }
