@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import chat, content_store, decontaminate, licenses, packing, quality, set_join, token_counts, warc
+from tidegrid.llm import chat, content_store, decontaminate, licenses, packing, quality, search, set_join, token_counts, warc
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -89,6 +89,23 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), sample=8000)
 
 
+def op8_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return search.top_k(docs, docs.where("doc_id % 20 = 0"), k=10)
+
+
+OP8_SQL = f"""
+with d as (select doc_id, {OP2_WORDS} as w from documents),
+s as (select count(*) as n, sum(len(w)) / count(*) as mean from d),
+tf as (select doc_id, x, count(*) as tf from (select doc_id, unnest(w) as x from d) group by all),
+f as (select x, count(*) as df from tf group by x),
+p as (select tf.doc_id, tf.x, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(w) / mean)) as part from tf join f using (x) join d using (doc_id), s),
+c as (select q.doc_id as query_id, p.doc_id, round(sum(part), 6) as score from tf q join p using (x) where q.doc_id % 20 = 0 group by all)
+select query_id, row_number() over (partition by query_id order by score desc, doc_id) as rank, doc_id, score from c
+qualify rank <= 10
+"""
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"), share=0.8).drop("matches")
 
@@ -135,6 +152,7 @@ QUERIES = {
     "op5_content_store": op5_content_store,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_quality_classifier": op7_quality_classifier,
+    "op8_top_k_search": op8_top_k_search,
     "op9_license_scan": op9_license_scan,
     "op10_chat_formatting": op10_chat_formatting,
 }
@@ -143,6 +161,7 @@ ORACLE_SQL: dict[str, str] = {
     "op2_decontamination": OP2_SQL,
     "op4_warc": OP4_SQL,
     "op6_jaccard_join": OP6_SQL,
+    "op8_top_k_search": OP8_SQL,
     "op9_license_scan": OP9_SQL,
     "op10_chat_formatting": OP10_SQL,
 }
