@@ -137,7 +137,11 @@ def train_dictionary(pages: DataFrame, samples: int = 512, sample_chars: int = 8
 
     It affects the size of archives alone. None where the sample is too small to train on.
     """
-    rows = pages.where("html <> ''").select(F.xxhash64("html").alias("h"), F.substring("html", 1, sample_chars).alias("t")).orderBy("h").limit(samples).collect()
+    keyed = pages.where("html <> ''").withColumn("h", F.xxhash64("page_id", "url"))
+    last = keyed.select("h").orderBy("h").limit(samples).agg(F.max("h")).first()[0]
+    if last is None:
+        return None
+    rows = keyed.where(F.col("h") <= last).groupBy("h").agg(F.min(F.substring("html", 1, sample_chars)).alias("t")).orderBy("h").collect()
     try:
         return zstandard.train_dictionary(size, [r.t.encode() for r in rows]).as_bytes()
     except (zstandard.ZstdError, ValueError):
