@@ -1,6 +1,340 @@
-"""The registered queries over signals, and their DuckDB equivalents."""
+"""The registered queries over signals, and their DuckDB equivalents.
+
+Two tables serve as signals. EVT is ``events`` by event_id: cents, user and k, chunks of 1000 samples. EMB is
+``embeddings`` by vec_id, on the int16 scale, chunks of 100. Results are in long form.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidegrid.functions import delta, dtypes
+from tidegrid.functions import sql as sqlfuncs
+from tidegrid.operators.codec import decode_frame
+from tidegrid.operators.store import SignalStore
+from tidegrid.plans import chunking
+from tidegrid.plans.config import CodecConfig
+from tidegrid.plans.workspace import scratch
+from tidegrid.streaming.encoder import encode_stream
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+EVT_RATE, EVT_SIZE, EMB_SIZE = 1000.0, 1000, 100
+INT16, INT32 = dtypes.sample_type("int16"), dtypes.sample_type("int32")
+
+EVT_SQL = """evt as (
+  select event_id as t, 0 as channel, cast(round(value * 100) as int) as value from events
+  union all select event_id, 1, cast(user_id as int) from events
+  union all select event_id, 2, cast(regexp_extract(props, '[0-9]+') as int) from events)"""
+EMB_SQL = "emb as (select vec_id as t, cast(i - 1 as int) as channel, cast(trunc(cast(embedding[i] as double) * 32766) as int) as value from (select vec_id, embedding, unnest(range(1, len(embedding) + 1)) as i from embeddings))"
+LONG = "select t, channel, value from"
+
+
+def query(name: str, oracle: str | None = None):
+    """Register a query and, if SQL can express it, its oracle."""
+
+    def add(f):
+        QUERIES[name] = f
+        if oracle is not None:
+            ORACLE_SQL[name] = oracle
+        return f
+
+    return add
+
+
+def evt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EVT as (t, samples)."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    k = F.regexp_extract("props", "[0-9]+", 0)
+    return e.select(F.col("event_id").alias("t"), F.array(F.round(F.col("value") * 100).cast("int"), F.col("user_id").cast("int"), k.cast("int")).alias("samples"))
+
+
+def emb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EMB as (t, samples)."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return e.select(F.col("vec_id").alias("t"), F.transform("embedding", lambda x: dtypes.quantise(x, 1.0)).alias("samples"))
+
+
+def long(wide: DataFrame) -> DataFrame:
+    return delta.to_long(wide).select("t", "channel", F.col("value").cast("int").alias("value"))
+
+
+def store(spark: SparkSession, sf_dir: str, **settings) -> SignalStore:
+    return SignalStore.encode(evt(spark, sf_dir), "int32", EVT_RATE, chunk_duration=EVT_SIZE / EVT_RATE, **settings)
+
+
+# scans
+
+
+@query("scan_wide", "select event_id as t, cast(round(value * 100) as int) as cents, cast(user_id as int) as user_id, cast(regexp_extract(props, '[0-9]+') as int) as k from events")
+def scan_wide(spark, sf_dir):
+    return evt(spark, sf_dir).select("t", *[F.get("samples", F.lit(i)).alias(n) for i, n in enumerate(("cents", "user_id", "k"))])
+
+
+@query("scan_long", f"with {EVT_SQL} {LONG} evt")
+def scan_long(spark, sf_dir):
+    return long(evt(spark, sf_dir))
+
+
+# scalar functions
+
+
+@query("quantize_int16", f"with {EMB_SQL} {LONG} emb")
+def quantize_int16(spark, sf_dir):
+    return long(emb(spark, sf_dir))
+
+
+@query("dequantize_int16", f"with {EMB_SQL} select t, channel, cast(trunc(value * (1.0::double / 32766) * 1e6) as int) as micro from emb")
+def dequantize_int16(spark, sf_dir):
+    return delta.to_long(emb(spark, sf_dir)).select("t", "channel", (dtypes.dequantise(F.col("value"), 1.0) * 1e6).cast("int").alias("micro"))
+
+
+@query("sql_functions", f"with {EMB_SQL} select t, channel, cast(value * 7919 & 65535 as int) as u16, cast(t // 100 as int) as chunk_idx from emb")
+def sql_functions(spark, sf_dir):
+    sqlfuncs.register(spark)
+    return long(emb(spark, sf_dir)).select("t", "channel", F.expr("wrap_uint16(value * 7919L)").alias("u16"), F.expr("chunk_of(t, 100)").alias("chunk_idx"))
+
+
+@query("max_abs", f"with {EMB_SQL} select cast(max(abs(value)) as int) as peak from emb")
+def max_abs(spark, sf_dir):
+    return emb(spark, sf_dir).agg(F.max(F.aggregate(F.col("samples"), F.lit(0), lambda a, x: F.greatest(a, F.abs(x.cast("int"))))).alias("peak"))
+
+
+# chunks
+
+
+@query("chunk_bounds", f"select cast(event_id // {EVT_SIZE} as int) as chunk_idx, min(event_id) as t0, max(event_id) + 1 as t1, count(*) as n_rows from events group by 1")
+def chunk_bounds(spark, sf_dir):
+    return chunking.bounds_frame(evt(spark, sf_dir), EVT_SIZE)
+
+
+@query("chunk_iter", f"select cast(event_id // {EVT_SIZE} as int) as chunk_idx, min(event_id) as t0, max(event_id) + 1 as t1 from events where event_id // {EVT_SIZE} between 1 and 3 group by 1")
+def chunk_iter(spark, sf_dir):
+    return store(spark, sf_dir).index().where(F.col("chunk_idx").between(1, 3)).select("chunk_idx", "t0", "t1")
+
+
+_INTERVALS = ((-1, 2), (0, 0), (2, 1), (999, 999), (999, 1000), (1000, 1000), (-10000, 10000000), (1000, 10000000), (123456789, 123456790))
+
+
+@query(
+    "chunk_lookup",
+    f"""with n as (select max(event_id) as last from events), i(i0, i1) as (values {', '.join(map(str, _INTERVALS))}),
+c as (select i0, i1, greatest(0, least(i0, last)) as a, greatest(0, least(i1, last)) as b from i, n)
+select cast(i0 as bigint) as i0, cast(i1 as bigint) as i1, cast(a // {EVT_SIZE} as int) as first, cast(greatest(a, b) // {EVT_SIZE} as int) as last from c""",
+)
+def chunk_lookup(spark, sf_dir):
+    n = evt(spark, sf_dir).agg(F.max("t") + 1).first()[0]
+    bounds = chunking.bounds(n, EVT_SIZE)
+    return spark.createDataFrame([(a, b, *chunking.chunks_for_interval(bounds, a, b)) for a, b in _INTERVALS], "i0 bigint, i1 bigint, first int, last int")
+
+
+@query("chunk_sha1_uncompressed", f"with {EVT_SQL}, h as (select t, channel, printf('%08x', value) as x from evt) select cast(t // {EVT_SIZE} as int) as chunk_idx, sha1(unhex(string_agg(substr(x, 7, 2) || substr(x, 5, 2) || substr(x, 3, 2) || substr(x, 1, 2), '' order by t, channel))) as sha1_raw from h group by 1")
+def chunk_sha1_uncompressed(spark, sf_dir):
+    return store(spark, sf_dir).chunks.select("chunk_idx", "sha1_raw")
+
+
+@query("chunk_offsets")
+def chunk_offsets(spark, sf_dir):
+    return store(spark, sf_dir).index()
+
+
+@query("compression_stats")
+def compression_stats(spark, sf_dir):
+    return store(spark, sf_dir).compression_stats()
+
+
+# differences and prefix sums
+
+_TIME = "value - coalesce(lag(value) over (partition by channel, t // {} order by t), 0)"
+_SPACE = "value - coalesce(lag(value) over (partition by t order by channel), 0)"
+
+
+@query("time_diff", f"with {EMB_SQL} select t, channel, cast(((({_TIME.format(EMB_SIZE)}) + 32768) % 65536 + 65536) % 65536 - 32768 as int) as value from emb")
+def time_diff(spark, sf_dir):
+    return delta.time_diff(delta.to_long(emb(spark, sf_dir)), INT16, EMB_SIZE).withColumn("value", F.col("value").cast("int"))
+
+
+@query("time_diff_wide", ORACLE_SQL["time_diff"])
+def time_diff_wide(spark, sf_dir):
+    return long(delta.wide_time_diff(emb(spark, sf_dir), INT16, EMB_SIZE))
+
+
+@query("spatial_diff", f"with {EMB_SQL} select t, channel, cast(((({_SPACE}) + 32768) % 65536 + 65536) % 65536 - 32768 as int) as value from emb")
+def spatial_diff(spark, sf_dir):
+    return delta.spatial_diff(delta.to_long(emb(spark, sf_dir)), INT16).withColumn("value", F.col("value").cast("int"))
+
+
+@query("spatial_diff_wide", ORACLE_SQL["spatial_diff"])
+def spatial_diff_wide(spark, sf_dir):
+    return long(delta.wide_spatial_diff(emb(spark, sf_dir), INT16))
+
+
+@query("time_spatial_diff", f"with {EVT_SQL}, d as (select t, channel, {_TIME.format(EVT_SIZE)} as value from evt) select t, channel, cast({_SPACE} as int) as value from d")
+def time_spatial_diff(spark, sf_dir):
+    return long(delta.wide_spatial_diff(delta.wide_time_diff(evt(spark, sf_dir), INT32, EVT_SIZE), INT32))
+
+
+@query("time_cumsum", f"with {EVT_SQL} select t, channel, cast(sum(value) over (partition by channel, t // {EVT_SIZE} order by t) as int) as value from evt")
+def time_cumsum(spark, sf_dir):
+    return delta.time_cumsum(delta.to_long(evt(spark, sf_dir)), INT32, EVT_SIZE)
+
+
+@query("spatial_cumsum", f"with {EVT_SQL} select t, channel, cast(sum(value) over (partition by t order by channel) as int) as value from evt")
+def spatial_cumsum(spark, sf_dir):
+    return delta.spatial_cumsum(delta.to_long(evt(spark, sf_dir)), INT32)
+
+
+@query("spatial_cumsum_wide", ORACLE_SQL["spatial_cumsum"])
+def spatial_cumsum_wide(spark, sf_dir):
+    return long(delta.wide_spatial_cumsum(evt(spark, sf_dir), INT32))
+
+
+@query("wrap_diff_u8", f"with {EVT_SQL}, u as (select t, channel, value & 255 as value from evt) select t, channel, cast(({_TIME.format(EVT_SIZE)}) & 255 as int) as value from u")
+def wrap_diff_u8(spark, sf_dir):
+    own = delta.to_long(evt(spark, sf_dir)).withColumn("value", F.col("value").bitwiseAND(255).cast("smallint"))
+    return delta.time_diff(own, dtypes.sample_type("uint8"), EVT_SIZE).withColumn("value", F.col("value").cast("int"))
+
+
+_I16 = "cast(((value::bigint * 7919 + 32768) & 65535) - 32768 as int)"
+
+
+@query("wrap_diff_i16", f"with {EVT_SQL}, u as (select t, channel, {_I16} as value from evt) select t, channel, cast(((({_TIME.format(EVT_SIZE)}) + 32768) & 65535) - 32768 as int) as value from u")
+def wrap_diff_i16(spark, sf_dir):
+    own = delta.to_long(evt(spark, sf_dir)).withColumn("value", dtypes.wrap(F.col("value").cast("bigint") * 7919, INT16))
+    return delta.time_diff(own, INT16, EVT_SIZE).withColumn("value", F.col("value").cast("int"))
+
+
+# round trips
+
+
+def _round_trip(**settings):
+    def run(spark, sf_dir):
+        return long(store(spark, sf_dir, **settings).decode())
+
+    return run
+
+
+for _name, _settings in {
+    "roundtrip_time": {},
+    "roundtrip_spatial": {"do_time_diff": False, "do_spatial_diff": True},
+    "roundtrip_both": {"do_spatial_diff": True},
+    "roundtrip_none": {"do_time_diff": False},
+    "roundtrip_order_c": {"chunk_order": "C"},
+    "roundtrip_order_f": {"chunk_order": "F", "comp_level": 9},
+}.items():
+    query(_name, ORACLE_SQL["scan_long"])(_round_trip(**_settings))
+
+
+@query("roundtrip_stored", ORACLE_SQL["scan_long"])
+def roundtrip_stored(spark, sf_dir):
+    return long(store(spark, sf_dir).save(scratch(spark, "signal")).decode())
+
+
+@query("concat_chunks", ORACLE_SQL["scan_long"])
+def concat_chunks(spark, sf_dir):
+    """UNION ALL of two parts of a signal, decoded apart."""
+    own = store(spark, sf_dir)
+    return long(own[:EVT_SIZE].unionByName(own[EVT_SIZE:]))
+
+
+@query("stream_roundtrip", f"with {EVT_SQL}, n as (select (max(event_id) + 1) // {EVT_SIZE} as full_chunks from events) {LONG} evt, n where t // {EVT_SIZE} < full_chunks")
+def stream_roundtrip(spark, sf_dir):
+    """Full chunks that the streaming encoder emits, decoded (an extension)."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
+    k = F.regexp_extract("props", "[0-9]+", 0).cast("int")
+    samples = stream.select(F.col("event_id").alias("t"), F.array(F.round(F.col("value") * 100).cast("int"), F.col("user_id").cast("int"), k).alias("samples"))
+    out = scratch(spark, "stream")
+    chunks = encode_stream(samples, "int32", 3, EVT_SIZE)
+    chunks.writeStream.format("parquet").option("checkpointLocation", out + "/state").trigger(availableNow=True).start(out + "/chunks").awaitTermination()
+    return long(decode_frame(spark.read.parquet(out + "/chunks"), "int32", 3, CodecConfig()))
+
+
+# slices
+
+
+def _slice(name: str, where: str, pick) -> None:
+    query(name, f"with {EVT_SQL}, n as (select max(event_id) + 1 as n from events) {LONG} evt, n where {where}")(lambda spark, sf_dir: long(pick(store(spark, sf_dir))))
+
+
+_slice("slice_range", "t >= 250 and t < 425", lambda s: s[250:425])
+_slice("slice_across_chunks", "t >= 950 and t < 2050", lambda s: s[950:2050])
+_slice("slice_step", "t >= 7 and t < 900 and (t - 7) % 13 = 0", lambda s: s[7:900:13])
+_slice("slice_long_step", "t >= 3 and (t - 3) % 1234 = 0", lambda s: s[3::1234])
+_slice("slice_negative", "t >= n - 150 and t < n - 1", lambda s: s[-150:-1])
+_slice("slice_beyond", "t >= n - 10", lambda s: s[-10:10**9])
+_slice("slice_all", "true", lambda s: s[:])
+_slice("slice_tuple", "t < 5", lambda s: s[(slice(None, 5),)])
+_slice("row_at", "t = 17", lambda s: s[17])
+_slice("row_at_negative", "t = n - 1", lambda s: s[-1])
+_slice("row_at_negative_wrap", "t = n - 1", lambda s: s[-s.meta.n_samples - 1])
+_slice("decode_chunk_set", f"t // {EVT_SIZE} in (0, 2, 3)", lambda s: s.decode_chunks([0, 2, 3]))
+_slice("get_chunk", f"t // {EVT_SIZE} = 0", lambda s: s.get_chunk(0))
+_slice("take_rows", "t % 97 = 5", lambda s: s.take(s.spark.range(5, s.meta.n_samples, 97).withColumnRenamed("id", "t")))
+
+
+@query("slice_stored_pruned", ORACLE_SQL["slice_across_chunks"])
+def slice_stored_pruned(spark, sf_dir):
+    return long(store(spark, sf_dir).save(scratch(spark, "signal"))[950:2050])
+
+
+@query("chop_prefix", f"with {EVT_SQL}, n as (select greatest(1, least(3, (max(event_id) + 1) // {EVT_SIZE})) as kept from events) {LONG} evt, n where t < kept * {EVT_SIZE}")
+def chop_prefix(spark, sf_dir):
+    own = store(spark, sf_dir)
+    return long((own.chop(min(3, max(1, own.meta.n_samples // EVT_SIZE))) or own).decode())
+
+
+@query("cell_at", f"with {EVT_SQL} select t, value from evt where t = 42 and channel = 1")
+def cell_at(spark, sf_dir):
+    return store(spark, sf_dir)[42, 1]
+
+
+@query("channel_project", f"with {EVT_SQL} select t, value from evt where channel = 0")
+def channel_project(spark, sf_dir):
+    return store(spark, sf_dir)[:, 0]
+
+
+@query("channel_slice", f"with {EVT_SQL} select t, cast(channel // 2 as int) as channel, value from evt where channel in (0, 2)")
+def channel_slice(spark, sf_dir):
+    return long(store(spark, sf_dir)[:, ::2])
+
+
+@query("channel_list", f"with {EVT_SQL} select t, case channel when 2 then 0 else 1 end as channel, value from evt where channel in (2, 0) and t >= 100 and t < 300")
+def channel_list(spark, sf_dir):
+    return long(store(spark, sf_dir)[100:300, [2, 0]])
+
+
+# facts and checks
+
+
+@query("describe_signal", f"select 'int32' as dtype, cast(1000.0 as double) as sample_rate, 3 as n_channels, printf('%.1fs', (max(event_id) + 1) / 1000.0) as duration, count(*) as n_samples, printf('%.1fs', count(*) / count(distinct event_id // {EVT_SIZE}) / 1000.0) as chunk_duration, count(distinct event_id // {EVT_SIZE}) as n_chunks from events")
+def describe_signal(spark, sf_dir):
+    return store(spark, sf_dir).describe()
+
+
+@query("mean_chunk_duration", f"select cast(round(1e6 * avg(n) / 1000.0) as bigint) as micros from (select count(*) as n from events group by event_id // {EVT_SIZE})")
+def mean_chunk_duration(spark, sf_dir):
+    return store(spark, sf_dir).chunks.agg(F.round(F.avg(F.col("t1") - F.col("t0")) / EVT_RATE * 1e6).cast("bigint").alias("micros"))
+
+
+@query("verify_integrity", "select count(*) as n_samples, cast(0 as bigint) as n_violations from events")
+def verify_integrity(spark, sf_dir):
+    own = store(spark, sf_dir)
+    bad = own.violations(evt(spark, sf_dir)).agg(F.count("*").alias("n_violations"))
+    return own.chunks.agg(F.sum(F.col("t1") - F.col("t0")).alias("n_samples")).join(F.broadcast(bad), how="inner")
+
+
+@query("verify_float_tolerance", "select count(*) as n_samples, cast(0 as bigint) as n_violations from embeddings")
+def verify_float_tolerance(spark, sf_dir):
+    """A floating-point signal without differences: exact, so surely within tolerance."""
+    wide = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("t"), F.col("embedding").alias("samples"))
+    own = SignalStore.encode(wide, "float32", 100.0, do_time_diff=False)
+    bad = own.violations(wide).agg(F.count("*").alias("n_violations"))
+    return own.chunks.agg(F.sum(F.col("t1") - F.col("t0")).alias("n_samples")).join(F.broadcast(bad), how="inner")
+
+
+@query("damaged_chunks", "select cast(count(*) as bigint) as n_damaged from events where false")
+def damaged_chunks(spark, sf_dir):
+    return store(spark, sf_dir).damaged().agg(F.count("*").alias("n_damaged"))
