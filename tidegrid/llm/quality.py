@@ -111,8 +111,12 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z.astype("f8"), -30, 30)))
 
 
-def train(found: list, labels: list[int], epochs: int = 8, batch: int = 128, rate: float = 0.1, decay: float = 1e-5, seed: int = 5) -> Model:
-    """Fit by AdaGrad on the logistic loss. Without rows of both labels every text scores the same."""
+def train(found: list, labels: list[int], epochs: int = 8, updates: int = 250, batch: int = 128, rate: float = 0.1, decay: float = 1e-5, seed: int = 5) -> Model:
+    """Fit by AdaGrad on the logistic loss: so many epochs, more if these make too few updates.
+
+    Without rows of both labels every text scores the same.
+    """
+    epochs = max(epochs, -(-updates * batch // max(1, len(found))))
     rng = np.random.default_rng(seed)
     stats = np.array([s for _, s in found]).reshape(len(found), 16)
     edges = np.quantile(stats, np.arange(1, BINS) / BINS, axis=0).T if found else np.zeros((16, BINS - 1))
