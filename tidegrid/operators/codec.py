@@ -121,3 +121,37 @@ def decode_frame(chunks: DataFrame, dtype: str, n_channels: int, config: CodecCo
 
     schema = T.StructType([T.StructField("t", T.LongType()), T.StructField("samples", T.ArrayType(kind.spark))])
     return chunks.select("t0", "t1", "payload").mapInArrow(decode, schema)
+
+
+def encode_file_frame(spark, read, n_samples: int, dtype: str, size: int, config: CodecConfig) -> DataFrame:
+    """Chunk table of a file: a task reads and encodes whole chunks, so there is no shuffle.
+
+    read(first, last) gives samples first..last as (rows, channels); it is called on executors.
+    """
+    kind = sample_type(dtype)
+    order, level, td, sd = config.chunk_order, config.comp_level, config.do_time_diff, config.do_spatial_diff
+    n_chunks = -(-n_samples // size)
+
+    def encode(batches):
+        for batch in batches:
+            for i in batch.column(0).to_pylist():
+                a, b = i * size, min((i + 1) * size, n_samples)
+                rows = np.ascontiguousarray(read(a, b).astype(kind.numpy, copy=False))
+                payload = compress_chunk(rows, td, sd, order, level)
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([a], pa.int64()), pa.array([b], pa.int64()), pa.array([len(payload)], pa.int64()), pa.array([hashlib.sha1(payload).hexdigest()]), pa.array([hashlib.sha1(rows).hexdigest()]), pa.array([payload], pa.binary())], names=["chunk_idx", "t0", "t1", "byte_length", "sha1", "sha1_raw", "payload"])
+
+    parts = max(1, min(n_chunks, 4 * spark.sparkContext.defaultParallelism, n_chunks))
+    return spark.range(0, n_chunks, 1, parts).mapInArrow(encode, CHUNK_SCHEMA)
+
+
+def decode_bytes_frame(chunks: DataFrame, dtype: str, n_channels: int, config: CodecConfig) -> DataFrame:
+    """(chunk_idx, payload): each chunk's samples as the bytes of a flat file."""
+    order, td, sd = config.chunk_order, config.do_time_diff, config.do_spatial_diff
+
+    def decode(batches):
+        for batch in batches:
+            for i, t0, t1, payload in zip(*(batch.column(c).to_pylist() for c in ("chunk_idx", "t0", "t1", "payload")), strict=True):
+                raw = decompress_chunk(payload, t1 - t0, n_channels, dtype, td, sd, order).tobytes("C")
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([raw], pa.binary())], names=["chunk_idx", "payload"])
+
+    return chunks.select("chunk_idx", "t0", "t1", "payload").mapInArrow(decode, "chunk_idx int, payload binary")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegrid.functions.dtypes import close, sample_type
-from tidegrid.operators.codec import CHUNK_SCHEMA, IntegrityError, decode_frame, encode_frame
+from tidegrid.operators.codec import CHUNK_SCHEMA, IntegrityError, decode_bytes_frame, decode_frame, encode_file_frame, encode_frame
 from tidegrid.plans import chunking
 from tidegrid.plans.chunking import Rows
 from tidegrid.plans.config import CodecConfig
@@ -111,8 +111,16 @@ class SignalStore:
         if missing:
             raise ValueError(f"{', '.join(missing)} must be given for a flat binary file")
         at = arrays.raw_layout(path, config.dtype, config.n_channels, offset)
-        signal = arrays.load_raw(spark, path, config.dtype, config.n_channels, offset)
-        return cls.encode(signal, config.dtype, config.sample_rate, at.n_rows, at.n_channels, **settings)
+        return cls._encode_file(spark, path, at, config)
+
+    @classmethod
+    def _encode_file(cls, spark: SparkSession, path: str, at: arrays.Layout, config: CodecConfig) -> SignalStore:
+        if at.n_rows == 0 or at.n_channels == 0:
+            raise ValueError("a signal without samples or channels can't be encoded")
+        kind = sample_type(at.dtype)
+        size = chunking.chunk_size(config.chunk_duration, config.sample_rate)
+        chunks = encode_file_frame(spark, lambda a, b: arrays.read_rows(path, at, a, b), at.n_rows, kind.name, size, config)
+        return cls(chunks, SignalMeta(kind.name, at.n_channels, at.n_rows, float(config.sample_rate), size, config, at.shape))
 
     @classmethod
     def from_npy(cls, spark: SparkSession, path: str, sample_rate: float | None = None, **settings) -> SignalStore:
@@ -120,7 +128,7 @@ class SignalStore:
         at, config = arrays.npy_layout(path), CodecConfig.resolve(sample_rate=sample_rate, **settings)
         if config.sample_rate is None:
             raise ValueError("sample_rate must be given")
-        return cls.encode(arrays.load_npy(spark, path), at.dtype, config.sample_rate, at.n_rows, at.n_channels, at.shape, **settings)
+        return cls._encode_file(spark, path, at, config)
 
     def save(self, folder: str, mode: str = "errorifexists") -> SignalStore:
         """Write the chunk table as Parquet, in folders of BUCKET chunks, and return the stored one."""
@@ -251,7 +259,8 @@ class SignalStore:
 
     def tofile(self, out: str, overwrite: bool = False) -> str:
         """All samples as one flat file in order of time; returns its SHA-1."""
-        sha = sinks.write_ordered(self.decode(), "t", "tidegrid_raw_sink", overwrite, path=out, dtype=self.meta.dtype)
+        raw = decode_bytes_frame(self.chunks, self.meta.dtype, self.meta.n_channels, self.meta.config)
+        sha = sinks.write_ordered(raw, "chunk_idx", "tidegrid_cbin_sink", overwrite, path=out)
         if self.meta.config.check_after_decompress:
             if files.size(out) != self.meta.n_samples * self.meta.n_channels * self.dtype.itemsize:
                 raise IntegrityError(f"{out} does not have the size of the signal")
@@ -311,18 +320,11 @@ class SignalStore:
         return self.chunks.where(F.sha1("payload") != F.col("sha1")).select("chunk_idx")
 
     def sha1_uncompressed(self) -> str:
-        """SHA-1 of the signal as one flat file: a fold over the samples in order of time."""
-        whole, kind = hashlib.sha1(), sample_type(self.meta.dtype)
-        from tidegrid.functions.dtypes import to_numpy
-
-        held: list = []
-        for r in self.decode().orderBy("t").toLocalIterator():
-            held.append(r.samples)
-            if len(held) == 4096:
-                whole.update(to_numpy(held, kind).tobytes("C"))
-                held = []
-        if held:
-            whole.update(to_numpy(held, kind).tobytes("C"))
+        """SHA-1 of the signal as one flat file: a fold over the chunks in order, one at a time."""
+        whole = hashlib.sha1()
+        raw = decode_bytes_frame(self.chunks, self.meta.dtype, self.meta.n_channels, self.meta.config)
+        for r in raw.orderBy("chunk_idx").toLocalIterator():
+            whole.update(bytes(r.payload))
         return whole.hexdigest()
 
     def sha1_compressed(self) -> str:
