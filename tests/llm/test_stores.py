@@ -14,7 +14,7 @@ BYTE = public_tokenizers.path("byte_bpe_50k.json")
 
 def test_content_store_round_trip(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").limit(60)
-    rows = [(r.doc_id, r.text) for r in docs.collect()] + [(None, None), (None, ""), (7, "again"), (7, "again"), (10**6, "x y " * 9000)]
+    rows = [(r.doc_id, r.text) for r in docs.collect()] + [(None, None), (None, ""), (-7, "again"), (-7, "again"), (10**6, "x y " * 9000)]
     df = spark.createDataFrame([(i, t, "c") for i, t in rows], "doc_id long, text string, hash string").repartition(3)
     folder = new_dir(spark, "test")
     content_store.write_store(df, BYTE, folder)
@@ -34,7 +34,7 @@ def test_content_store_round_trip(spark, sf_dir):
         at += r.n_tokens
     ids = {r.idx: r.ids for r in content_store.reconstruct(spark, folder).collect()}
     assert all(zlib.crc32(np.array(ids[r.idx], "<u4").tobytes()) == r.ids_crc32 for r in got)
-    some = content_store.reconstruct(spark, folder, spark.createDataFrame([(7,)], "doc_id long")).collect()
+    some = content_store.reconstruct(spark, folder, spark.createDataFrame([(-7,)], "doc_id long")).collect()
     assert len(some) == 2 and some[0].ids == some[1].ids
     chunks = spark.read.parquet(f"{folder}/chunks")
     assert chunks.count() == chunks.select("hash").distinct().count() < sum(r.n_chunks for r in got)
@@ -56,10 +56,11 @@ def test_content_store_finds_damage(spark):
     spark.read.parquet(f"{folder}/recipes").selectExpr("part", "idx", "doc_id", "start", "n_tokens", "reverse(concat(hashes, array(x'00'))) as hashes", "after", "root").write.parquet(f"{other}/recipes")
     with pytest.raises(Exception, match="does not match its root"):
         content_store.read_digests(spark, other).collect()
-    spark.read.parquet(f"{folder}/recipes").where("idx <> 3").write.mode("overwrite").parquet(f"{other}/recipes2")
-    spark.read.parquet(f"{folder}/manifest").write.parquet(f"{other}/manifest")
+    less = new_dir(spark, "bad")
+    spark.read.parquet(f"{folder}/recipes").where("idx <> 3").write.parquet(f"{less}/recipes")
+    spark.read.parquet(f"{folder}/manifest").write.parquet(f"{less}/manifest")
     with pytest.raises(content_store.StoreError):
-        content_store.check_manifest(spark, other)
+        content_store.check_manifest(spark, less)
 
 
 def test_content_store_empty(spark):
