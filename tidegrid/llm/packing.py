@@ -146,6 +146,7 @@ def pack_items(items: DataFrame, capacity: int, n_blocks: int, islands: int = 2,
     if n_blocks < 1:
         return items.select("*", F.lit(None).cast("bigint").alias("sequence_id"), F.lit(None).cast("bigint").alias("offset")).limit(0)
     fields = [c for c in items.columns if c != "uid"]
+    spread = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
     blocks = materialise(items.groupBy(F.pmod(F.xxhash64("uid"), F.lit(n_blocks)).alias("block")).agg(F.sort_array(F.collect_list(F.struct("uid", *fields))).alias("items")), "blocks")
     genes = "array<array<array<int>>>"
     state = blocks.select("block", F.col("items.length").alias("lengths"), F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), F.lit(None).cast(genes).alias("population"))
@@ -161,7 +162,8 @@ def pack_items(items: DataFrame, capacity: int, n_blocks: int, islands: int = 2,
                     yield pa.RecordBatch.from_pylist([{"block": row["block"], "island": row["island"], "lengths": row["lengths"], "population": found, "bins": len(found[0]), "done": len(found[0]) <= own.fewest}], schema=arrow)
 
         arrow = pa.schema([("block", pa.int64()), ("island", pa.int32()), ("lengths", pa.list_(pa.int64())), ("population", pa.list_(pa.list_(pa.list_(pa.int32())))), ("bins", pa.int32()), ("done", pa.bool_())])
-        after = materialise(state.repartition("block", "island").mapInArrow(evolve, schema), "islands")
+        # by number: these tasks take little memory and much time, so they aren't to be merged
+        after = materialise(state.repartition(spread, "block", "island").mapInArrow(evolve, schema), "islands")
         if epoch < epochs - 1:
             # the elite of the next island replaces the last of the population; only unfinished blocks go on
             open_blocks = after.groupBy("block").agg(F.max("done").alias("over")).where(~F.col("over")).select("block")

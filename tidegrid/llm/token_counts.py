@@ -21,18 +21,10 @@ from pyspark.sql import types as T
 
 from tidegrid.llm import tokens
 
-#: The pre-tokenisation pattern of byte-level BPE and the contractions in it.
-PRE = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+".replace(r"[^\s", f"[^{tokens.SPACE}").replace(r"\s", f"[{tokens.SPACE}]").replace(r"\S", f"[^{tokens.SPACE}]"))
+#: The two-letter contractions of the pre-tokenisation pattern.
 TWO_LETTER = ("'ll", "'ve", "'re")
 
 
-def byte_symbols() -> dict[int, str]:
-    """The character by which byte-level vocabularies write each byte."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    hidden = [b for b in range(256) if b not in shown]
-    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
-
-
 class PrefixCounter:
     """Exact token counts of every prefix, for a byte-level BPE file of the tokenizers library."""
 
@@ -40,7 +32,7 @@ class PrefixCounter:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
-        back = {c: b for b, c in byte_symbols().items()}
+        back = {c: b for b, c in tokens.SYMBOLS.items()}
         raw = lambda s: bytes(back[c] for c in s)
         self.specials = sorted((t["content"] for t in spec["added_tokens"] if t["special"]), key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, self.specials)) or "(?!)")
@@ -118,7 +110,7 @@ class PrefixCounter:
         """Counts at all prefixes of a unit without special strings."""
         out: list[int] = []
         base = 0
-        for p in PRE.findall(text):
+        for p in tokens.BYTE_PRE.findall(text):
             own = self.piece(p)
             out += [base + n for n in own] if base else own
             base = out[-1]

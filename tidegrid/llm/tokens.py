@@ -7,18 +7,36 @@ encoded by the library only once per worker.
 
 from __future__ import annotations
 
+import json
 import os
 import re
+from array import array
 
 import numpy as np
+import regex
 
 #: The code points with Unicode's White_Space property.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 UNIT = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 ASCII_UNIT = re.compile(r"[\t-\r ]*[^\t-\r ]+|[\t-\r ]+")
 WORD = re.compile(f"[^{SPACE}]+")
-#: Units that a worker remembers (about 200 bytes each). Beyond it the cache starts anew.
-CACHE_UNITS = 600_000
+#: The pre-tokenisation patterns of the byte-level file and of the lower-case file.
+BYTE_PRE = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+".replace(r"[^\s", f"[^{SPACE}").replace(r"\s", f"[{SPACE}]").replace(r"\S", f"[^{SPACE}]"))
+WORD_PRE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|" + f"[^{SPACE}" + r"\p{L}\p{N}]+")
+#: Code points that no normaliser here changes but by plain lower case: ASCII, Latin-1, Latin Extended-A (composed; not I with dot).
+PLAIN = re.compile("[\x00-\u012f\u0131-\u017e]*")
+#: Units that a worker remembers (about 200 bytes each), half of them from the round before.
+CACHE_UNITS = 500_000
+
+
+def byte_symbols() -> dict[int, str]:
+    """The character by which byte-level vocabularies write each byte."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+SYMBOLS = byte_symbols()
 
 _loaded: dict[str, object] = {}
 
@@ -46,24 +64,48 @@ def words(text: str) -> list[str]:
 _SEPARATORS = re.compile("[\x1c-\x1f]")  # str.split() drops these; they aren't White_Space
 
 
-class UnitEncoder:
-    """Ids of whole texts as little-endian unsigned 32-bit bytes."""
+class UnitEncoder(dict):
+    """Ids of whole texts as little-endian unsigned 32-bit bytes; also the cache: unit -> ids.
+
+    Units of ASCII and Latin letters go to the library's merge model directly, by the pre-tokens that the
+    file's pattern gives; all others, and those with a special string, go through the whole library.
+    """
 
     def __init__(self, path: str, keep_space: bool):
-        self.tokenizer, self.cut, self.cache = tokenizer(path), units if keep_space else words, {}
+        self.tokenizer, self.cut = tokenizer(path), units if keep_space else words
+        spec = json.loads(self.tokenizer.to_str())
+        self.fold = any(n["type"] == "Lowercase" for n in (spec["normalizer"] or {}).get("normalizers", []))
+        self.pattern = WORD_PRE if self.fold else BYTE_PRE
+        self.model = self.tokenizer.model
+        self.pieces: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def __missing__(self, unit: str) -> bytes:
+        if (ids := self.old.get(unit)) is None:
+            ids = self.ids(unit)
+        if len(self) >= CACHE_UNITS // 2:  # units of the last round stay within reach
+            self.old = dict(self)
+            self.clear()
+        self[unit] = ids
+        return ids
+
+    def ids(self, unit: str) -> bytes:
+        if PLAIN.fullmatch(unit) is None or "<|" in unit:
+            return np.array(self.tokenizer.encode(unit, add_special_tokens=False).ids, "<u4").tobytes()
+        out, pieces = [], self.pieces
+        for p in self.pattern.findall(unit.lower() if self.fold else unit):
+            if (one := pieces.get(p)) is None:
+                symbols = p if p.isascii() and " " not in p and p.isprintable() else p.encode().decode("latin-1").translate(SYMBOLS)
+                one = array("I", [t.id for t in self.model.tokenize(symbols)]).tobytes()
+                if len(pieces) >= CACHE_UNITS // 2:
+                    pieces.clear()
+                pieces[p] = one
+            out.append(one)
+        return b"".join(out) if len(out) != 1 else out[0]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.cut(t) for t in texts]
-        cache = self.cache
-        new = list({u for us in cut for u in us if u not in cache})
-        if len(cache) + len(new) > CACHE_UNITS:
-            cache.clear()
-            new = list({u for us in cut for u in us})
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for u, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                cache[u] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(cache.__getitem__, us)) for us in cut]
+        get, cut = self.__getitem__, self.cut
+        return [b"".join(map(get, cut(t))) for t in texts]
 
 
 _encoders: dict[tuple[str, bool], UnitEncoder] = {}
