@@ -110,9 +110,9 @@ def chunk_bounds(spark, sf_dir):
     return chunking.bounds_frame(evt(spark, sf_dir), EVT_SIZE)
 
 
-@query("chunk_iter", f"select cast(event_id // {EVT_SIZE} as int) as chunk_idx, min(event_id) as t0, max(event_id) + 1 as t1 from events where event_id // {EVT_SIZE} between 1 and 3 group by 1")
+@query("chunk_iter", f"select cast(event_id // {EVT_SIZE} as int) as chunk_idx, min(event_id) as t0, max(event_id) + 1 as t1 from events where event_id // {EVT_SIZE} between 0 and 2 group by 1")
 def chunk_iter(spark, sf_dir):
-    return store(spark, sf_dir).index().where(F.col("chunk_idx").between(1, 3)).select("chunk_idx", "t0", "t1")
+    return store(spark, sf_dir).index().where(F.col("chunk_idx").between(0, 2)).select("chunk_idx", "t0", "t1")
 
 
 _INTERVALS = ((-1, 2), (0, 0), (2, 1), (999, 999), (999, 1000), (1000, 1000), (-10000, 10000000), (1000, 10000000), (123456789, 123456790))
