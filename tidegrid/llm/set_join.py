@@ -37,7 +37,9 @@ from tidegrid.llm.shared import materialise, release
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 U = np.uint64
 #: Elements of a chunk of a group; a tile compares two chunks.
-TILE_ELEMENTS = 1_500_000
+TILE_ELEMENTS = 1_000_000
+#: Places of sets up to this number (some 50 bytes each) are broadcast to the scan; more are joined by shuffle.
+BROADCAST_SETS = 300_000
 #: Bits of the filter that keeps sets without candidates from being shuffled; a larger corpus only passes more of them.
 FILTER_BITS = 1 << 25
 
@@ -138,10 +140,18 @@ def links_within(sets: list[np.ndarray], t: Fraction) -> list[tuple[int, int]]:
     if n <= 8:
         pairs = ((i, [j for j in range(i) if similar(len(np.intersect1d(sets[i], sets[j], True)), sizes[i], sizes[j], t)]) for i in range(1, n))
     else:
-        _, ids = np.unique(np.concatenate(sets), return_inverse=True)
-        owner = np.repeat(np.arange(n), sizes)
-        order = np.argsort(ids, kind="stable")
-        posting, start = owner[order], np.concatenate([[0], np.cumsum(np.bincount(ids))])
+        # 32-bit numbers, and no array longer than needed: a tile is some ten times its elements in bytes
+        whole = np.concatenate(sets)
+        order = np.argsort(whole).astype("i4")
+        whole = whole[order]
+        new = np.empty(len(whole), bool)
+        new[0], new[1:] = True, whole[1:] != whole[:-1]
+        del whole
+        start = np.append(np.flatnonzero(new), len(order))
+        ids = np.empty(len(order), "i4")
+        ids[order] = np.cumsum(new, dtype="i4") - 1
+        posting = np.repeat(np.arange(n, dtype="i4"), sizes)[order]
+        del order, new
         ends = np.cumsum(sizes)
 
         def search():
@@ -204,7 +214,7 @@ def jaccard_components(df: DataFrame, threshold: str = "0.9", n: int = 3, id_col
                 own = set_id(s)
                 if own is None or own in met:
                     continue
-                if len(met) < 1_000_000:
+                if len(met) < 200_000:
                     met.add(own)
                 entry.append(entries(s, bands))
                 node.append(np.full(len(entry[-1]), own))
@@ -242,7 +252,7 @@ def jaccard_components(df: DataFrame, threshold: str = "0.9", n: int = 3, id_col
                 own = set_id(s)
                 if own is None or own in met or not held.value[own % FILTER_BITS // 8] >> (own % 8) & 1:
                     continue
-                if len(met) < 1_000_000:
+                if len(met) < 200_000:
                     met.add(own)
                 node.append(own)
                 value.append(s.tobytes())
@@ -255,11 +265,14 @@ def jaccard_components(df: DataFrame, threshold: str = "0.9", n: int = 3, id_col
     chunks = placed.groupBy("grp").agg(F.ceil(F.sum("size") / TILE_ELEMENTS).cast("int").alias("chunks"))
     placed = placed.join(chunks, "grp").select("node", "grp", "chunks", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"))
     placed = materialise(placed, "placed")
-    own = _sets(docs, n, elements(), "node bigint, elements binary").join(placed, "node").groupBy("node", "grp", "chunks", "chunk").agg(F.first("elements").alias("elements"))
+    if placed.count() <= BROADCAST_SETS:
+        placed = F.broadcast(placed)
+    # a set that several tasks met arrives several times; the comparison keeps one
+    own = _sets(docs, n, elements(), "node bigint, elements binary").join(placed, "node")
     tiled = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("grp", "chunks", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "node", "elements")
 
     def compare(batches):
-        key, nodes_, sets, out = None, [], [], []
+        key, nodes_, sets, out, met = None, [], [], [], set()
 
         def flush():
             if len(sets) > 1:
@@ -271,6 +284,10 @@ def jaccard_components(df: DataFrame, threshold: str = "0.9", n: int = 3, id_col
                 if (grp, many, i, j) != key:
                     flush()
                     key, nodes_, sets = (grp, many, i, j), [], []
+                    met.clear()
+                if node in met:
+                    continue
+                met.add(node)
                 nodes_.append(node)
                 sets.append(np.frombuffer(data, "u8"))
             if len(out) > 50_000:

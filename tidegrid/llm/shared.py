@@ -7,6 +7,7 @@ made for the session and the setting is filled in.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -52,6 +53,9 @@ def materialise(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -
     if partition_by:
         write = write.partitionBy(*partition_by)
     write.parquet(uri)
+    # let Spark drop the shuffle files of steps that are over: it does so when their plans are collected
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(uri)
     out._tidegrid_uri = uri  # for release()
     return out
