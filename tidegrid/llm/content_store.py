@@ -42,6 +42,19 @@ class StoreError(ValueError):
     """A chunk, recipe or manifest does not match its digest."""
 
 
+ODD = 0xD1342543DE82EF95
+_held: list[np.ndarray] = [np.ones(1, "u8"), np.ones(1, "u8")]
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """ODD**i and ODD**-i modulo 2**64 for i < n."""
+    if len(_held[0]) < n:
+        size = 1 << n.bit_length()
+        for k, base in enumerate((ODD, pow(ODD, -1, 1 << 64))):
+            _held[k] = np.cumprod(np.concatenate([np.ones(1, "u8"), np.full(size - 1, base, "u8")]))
+    return [p[:n] for p in _held]
+
+
 def cut_places(ids: np.ndarray) -> list[int]:
     """Ends of the chunks of one id stream; the last is its length."""
     n = len(ids)
@@ -49,9 +62,11 @@ def cut_places(ids: np.ndarray) -> list[int]:
         return [n]
     x = (ids.astype("u8") + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     x ^= x >> np.uint64(29)
-    h = np.zeros(n, "u8")
-    for k in range(WINDOW):  # the id k places back, weighted by an odd constant to the power k
-        h[k:] += x[: n - k] * np.uint64(pow(0xD1342543DE82EF95, k, 1 << 64))
+    # the id k places back is weighted by ODD**k; as ODD has an inverse modulo 2**64, prefix sums give all windows
+    up, down = _powers(n)
+    total = np.cumsum(x * down)
+    total[WINDOW:] -= total[:-WINDOW].copy()
+    h = total * up
     out, last = [], 0
     for p in np.flatnonzero((h >> np.uint64(40)) & np.uint64(MASK) == 0) + 1:
         while p - last > MOST:
