@@ -78,6 +78,7 @@ class UnitEncoder(dict):
         self.pattern = WORD_PRE if self.fold else BYTE_PRE
         self.model = self.tokenizer.model
         self.pieces: dict[str, bytes] = {}
+        self.old_pieces: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def __missing__(self, unit: str) -> bytes:
@@ -93,11 +94,18 @@ class UnitEncoder(dict):
         if PLAIN.fullmatch(unit) is None or "<|" in unit:
             return np.array(self.tokenizer.encode(unit, add_special_tokens=False).ids, "<u4").tobytes()
         out, pieces = [], self.pieces
-        for p in self.pattern.findall(unit.lower() if self.fold else unit):
-            if (one := pieces.get(p)) is None:
+        if self.fold:
+            unit = unit.lower()
+        # a word of letters, behind one space at most, is one pre-token
+        one_word = unit.isalpha() or (unit[0] == " " and unit[1:].isalpha())
+        for p in (unit,) if one_word else self.pattern.findall(unit):
+            if (one := pieces.get(p)) is None and (one := self.old_pieces.get(p)) is not None:
+                pieces[p] = one
+            if one is None:
                 symbols = p if p.isascii() and " " not in p and p.isprintable() else p.encode().decode("latin-1").translate(SYMBOLS)
                 one = array("I", [t.id for t in self.model.tokenize(symbols)]).tobytes()
                 if len(pieces) >= CACHE_UNITS // 2:
+                    self.old_pieces = dict(pieces)
                     pieces.clear()
                 pieces[p] = one
             out.append(one)
