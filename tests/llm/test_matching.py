@@ -124,7 +124,9 @@ def test_jaccard_components(spark, t, n):
 
 def test_jaccard_tiles_and_large_groups(spark, monkeypatch):
     """A group of many near copies, cut into tiles."""
-    monkeypatch.setattr(set_join, "TILE_ELEMENTS", 2000)
+    monkeypatch.setattr(set_join, "TILE_BYTES", 9000)
+    monkeypatch.setattr(set_join, "STAR", 7)
+    monkeypatch.setattr(set_join, "MET", 5)
     rng = random.Random(4)
     base = [f"v{rng.randrange(500)}" for _ in range(60)]
     rows = []
@@ -154,6 +156,35 @@ def test_entries_meet_for_all_similar_sets():
                     assert len(np.intersect1d(set_join.entries(a, bands), set_join.entries(b, bands))), (t, len(a), len(b), both)
 
 
+def test_bounds_exclude_no_similar_pair():
+    rng = np.random.default_rng(9)
+    for t in (Fraction("0.9"), Fraction("0.8")):
+        for size in (1, 2, 5, 9, 30, 100, 400):
+            base = np.unique(rng.integers(0, 1 << 63, size).astype("u8"))
+            sets = [np.unique(np.concatenate([base[rng.random(len(base)) > p], rng.integers(0, 1 << 63, k).astype("u8")])) for p in (0, 0.02, 0.05, 0.1) for k in (0, 1, size // 20, size // 8)]
+            sets = [s for s in sets if len(s)]
+            marks, sizes = [set_join.sketch(s) for s in sets], np.array([len(s) for s in sets])
+            limit = set_join.difference_limits(2 * max(sizes), t)
+            rows, near = set_join.folded(marks), {i for i in range(len(sets)) for j in range(len(sets)) if i != j and set_join.similar(len(np.intersect1d(sets[i], sets[j])), sizes[i], sizes[j], t)}
+            for i in range(1, len(sets)):
+                may = set_join.may_be_similar(rows, i, sizes, limit)
+                assert all(may[j] for j in range(i) if set_join.similar(len(np.intersect1d(sets[i], sets[j])), sizes[i], sizes[j], t))
+                assert all(set_join.common(sets[i], sets[j]) == len(np.intersect1d(sets[i], sets[j])) for j in range(i))
+            assert near <= set(np.flatnonzero(set_join.suspects(marks, sizes, t, list(range(len(sets))))))
+
+
+def test_hashes_equal_sparks(spark):
+    from pyspark.sql import functions as F
+
+    from tidegrid.llm import shared
+
+    values = np.random.default_rng(3).integers(-(1 << 63), (1 << 63) - 1, 500)
+    df = spark.createDataFrame([(int(v),) for v in values], "v long")
+    assert [r[0] for r in df.select(F.xxhash64("v")).collect()] == shared.xxh64_of_longs(values).view("i8").tolist()
+    table = shared.bit_table(df, "v")
+    assert shared.hits(table, values).all() and shared.hits(table, values + 1).sum() < 5
+
+
 def test_components(spark):
     rng = random.Random(8)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(250)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5, 5), (2000, 2000)]

@@ -36,6 +36,10 @@ def test_quality_of_odd_rows(spark):
     none = labels.limit(0)
     assert {r.score for r in quality.classify(docs, none).collect()} == {0.5}
     assert quality.classify(docs.limit(0), none).count() == 0
+    twice = spark.createDataFrame([(i, i % 2) for i in (1, 2, 3, 4, 1, 2, 3, 4)] + [(2, 1)], "doc_id long, quality int")
+    assert quality.classify(docs, twice).count() == 6
+    with pytest.raises(ValueError, match="choose another name"):
+        quality.score(docs, quality.fit(docs, none), name="score")
     kept = quality.score(docs, quality.fit(docs, none))
     assert kept.columns == ["doc_id", "text", "score", "quality_score"] and kept.count() == 6
 

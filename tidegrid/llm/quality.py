@@ -162,13 +162,14 @@ def held_out(id_col: str) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 8000, **how) -> Model:
-    """A model from at most ``sample`` labelled rows that are not held out, chosen by a hash of their id.
+    """A model from at most ``sample`` labelled ids that are not held out, chosen by a hash of their id.
 
-    Only features of the sample reach the driver: some 2 kB for a text of ordinary length.
+    Of documents and labels that repeat an id the least text and the least label count, so at most ``sample``
+    rows are learned from. Only features of these reach the driver: some 2 kB for a text of ordinary length.
     """
-    wanted = labels.where(~held_out(id_col) & F.col(label_col).isin(0, 1)).select(id_col, F.col(label_col).cast("int").alias("_y"), F.xxhash64(id_col).alias("_h"))
-    wanted = wanted.orderBy("_h", id_col).limit(sample)
-    rows = docs.select(id_col, F.coalesce(text_col, F.lit("")).alias("_t")).join(F.broadcast(wanted), id_col).select("_h", "_y", "_t")
+    wanted = labels.where(~held_out(id_col) & F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.min(F.col(label_col).cast("int")).alias("_y"))
+    wanted = wanted.withColumn("_h", F.xxhash64(id_col)).orderBy("_h", id_col).limit(sample)
+    rows = docs.select(id_col, F.coalesce(text_col, F.lit("")).alias("_t")).join(F.broadcast(wanted), id_col).groupBy(id_col, "_h", "_y").agg(F.min("_t").alias("_t")).select("_h", "_y", "_t")
 
     def extract(batches):
         for batch in batches:
@@ -180,15 +181,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return train([(r["words"], tuple(r["stats"])) for r in got], [r["_y"] for r in got], **how)
 
 
-def score(df: DataFrame, model: Model, text_col: str = "text", drop_text: bool = False) -> DataFrame:
-    """``df`` with the column quality_score (0 to 1, higher: more like label 1), from whole texts.
+def score(df: DataFrame, model: Model, text_col: str = "text", drop_text: bool = False, name: str = "quality_score") -> DataFrame:
+    """``df`` with the column ``name`` (0 to 1, higher: more like label 1), from whole texts.
 
-    A null text is empty, and empty texts have a score too. Rows and other columns stay as they are; a
-    column of that name is replaced. No shuffle.
+    A null text is empty, and empty texts have a score too. Rows and other columns stay as they are. ``name``
+    must not be a column of ``df``. No shuffle.
     """
-    df = df.drop("quality_score")
+    if name in df.columns:
+        raise ValueError(f"the table has a column {name} already; choose another name for the score")
     keep = [c for c in df.columns if not (drop_text and c == text_col)]
-    schema = T.StructType([*(df.schema[c] for c in keep), T.StructField("quality_score", T.DoubleType())])
+    schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(name, T.DoubleType())])
     at = df.columns.index(text_col)
     held = df.sparkSession.sparkContext.broadcast(model)  # of a fixed size, 1.2 MB
 

@@ -14,34 +14,40 @@ all cheap segments of x differ, at least c of them, with D <= H differences in a
 more than one element, and among any H + 1 - c of them one differs in exactly one. The same holds for y, and
 the shorter of the two allocations lies within the other. (A set with c < H + 1 - c indexes all of it.)
 
-Sets that share an entry form candidate groups. In each, sets are compared exactly, group by group in
-arrays, so no pair is ever a row. A group of many elements is cut into tiles that are compared in parallel.
+Verification is exact and comes before any closure. Each set is first compared with the least set of each of its
+entries (a star, so candidates grow with the entries). Where that joins all sets of an entry, nothing is left to
+do there. The sets of other entries are compared with each other in tiles of bounded size, unless they are of one
+class already: first by size and by sketches of parities, which bound the elements that differ, then what these
+bounds leave by elements. No pair is ever a row but one of a star.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.core.broadcast import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidegrid.llm import tokens
 from tidegrid.llm.components import components
-from tidegrid.llm.shared import materialise, release
+from tidegrid.llm.shared import bit_table, hits, materialise, release
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 U = np.uint64
-#: Elements of a chunk of a group; a tile compares two chunks.
-TILE_ELEMENTS = 1_000_000
-#: Places of sets up to this number (some 50 bytes each) are broadcast to the scan; more are joined by shuffle.
-BROADCAST_SETS = 300_000
-#: Bits of the filter that keeps sets without candidates from being shuffled; a larger corpus only passes more of them.
-FILTER_BITS = 1 << 25
+#: Bytes of a chunk of an entry's sets; a tile compares two chunks.
+TILE_BYTES = 4 << 20
+#: Sets of a star that one task streams past its centre.
+STAR = 512
+#: Digests of sets that a task remembers, so that it stores equal ones once.
+MET = 100_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -64,11 +70,6 @@ def shingles(text: str, n: int = 3) -> np.ndarray:
     return np.unique(out)
 
 
-def set_id(found: np.ndarray) -> int | None:
-    """64-bit id of a set; None if it is empty."""
-    return int.from_bytes(hashlib.blake2b(found.tobytes(), digest_size=8).digest(), "little", signed=True) if len(found) else None
-
-
 class Bands:
     """Size bands that double, and the number of segments of each, for a threshold."""
 
@@ -124,66 +125,218 @@ def similar(a: int, size_a: int, size_b: int, t: Fraction) -> bool:
     return a * t.denominator >= t.numerator * (size_a + size_b - a)
 
 
-def links_within(sets: list[np.ndarray], t: Fraction) -> list[tuple[int, int]]:
-    """Links that span the components of exactly the similar pairs among ``sets``."""
-    n = len(sets)
-    root = list(range(n))
+def common(a: np.ndarray, b: np.ndarray) -> int:
+    """Elements that two sorted sets share."""
+    if len(a) > len(b):
+        a, b = b, a
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    return int((b[at] == a).sum()) if len(b) else 0
 
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
 
-    out = []
-    sizes = np.array([len(s) for s in sets])
-    if n <= 8:
-        pairs = ((i, [j for j in range(i) if similar(len(np.intersect1d(sets[i], sets[j], True)), sizes[i], sizes[j], t)]) for i in range(1, n))
-    else:
-        # 32-bit numbers, and no array longer than needed: a tile is some ten times its elements in bytes
-        whole = np.concatenate(sets)
-        order = np.argsort(whole).astype("i4")
-        whole = whole[order]
-        new = np.empty(len(whole), bool)
-        new[0], new[1:] = True, whole[1:] != whole[:-1]
-        del whole
-        start = np.append(np.flatnonzero(new), len(order))
-        ids = np.empty(len(order), "i4")
-        ids[order] = np.cumsum(new, dtype="i4") - 1
-        posting = np.repeat(np.arange(n, dtype="i4"), sizes)[order]
-        del order, new
-        ends = np.cumsum(sizes)
-
-        def search():
-            for i in range(1, n):
-                own = ids[ends[i] - sizes[i] : ends[i]]
-                own = own[start[own + 1] - start[own] > 1]
-                if len(own):
-                    both = np.bincount(np.concatenate([posting[start[k] : start[k + 1]] for k in own]), minlength=n)[:i]
-                    yield i, np.flatnonzero(both * t.denominator >= t.numerator * (sizes[:i] + sizes[i] - both)).tolist()
-
-        pairs = search()
-    for i, near in pairs:
-        for j in near:
-            if (a := find(i)) != (b := find(j)):
-                root[max(a, b)] = min(a, b)
+def sketch(found: np.ndarray) -> bytes:
+    """Parities of the set's elements in 2n to 4n cells: cells that differ are at most the elements that differ."""
+    cells = max(64, 1 << (2 * len(found) - 1).bit_length())
+    odd = np.bincount((mix(found ^ U(0x5851F42D4C957F2D)) & U(cells - 1)).astype("i8"), minlength=cells) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
+
+
+def folded(sketches: list[bytes]) -> np.ndarray:
+    """Sketches as rows of 64-bit words, all folded to the width of the narrowest."""
+    width = min(map(len, sketches)) // 8
+    return np.stack([np.bitwise_xor.reduce(np.frombuffer(s, "u8").reshape(-1, width), axis=0) for s in sketches])
+
+
+def may_be_similar(rows: np.ndarray, i: int, sizes: np.ndarray, limit: np.ndarray) -> np.ndarray:
+    """True for the sets before the i-th that no bound excludes: by size, and by cells that differ."""
+    differ = np.bitwise_count(rows[:i] ^ rows[i]).sum(axis=1, dtype="i8")
+    total = sizes[:i] + sizes[i]
+    return np.maximum(differ, np.abs(sizes[:i] - sizes[i])) <= limit[total]
+
+
+def difference_limits(most: int, t: Fraction) -> np.ndarray:
+    """The most elements in which two similar sets differ, by the sum of their sizes."""
+    return np.arange(most + 1, dtype="i8") * (t.denominator - t.numerator) // (t.denominator + t.numerator)
+
+
+def links_within(sets: list[np.ndarray], t: Fraction, labels: list[int] | None = None, marks: list[bytes] | None = None, ours: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links that, with those that equal ``labels`` stand for, span the components of the similar pairs of ``sets``.
+
+    Pairs that are joined already, or that a bound excludes, are not compared. With ``ours`` only pairs of
+    sets on different sides of it are.
+    """
+    label = np.unique(np.arange(len(sets)) if labels is None else labels, return_inverse=True)[1]
+    sizes = np.array([len(s) for s in sets], "i8")
+    rows, limit, out = folded(marks or [sketch(s) for s in sets]), difference_limits(2 * int(sizes.max(initial=0)), t), []
+    for i in range(1, len(sets)):
+        near = may_be_similar(rows, i, sizes, limit) & (label[:i] != label[i])
+        if ours is not None:
+            near &= ours[:i] != ours[i]
+        for j in np.flatnonzero(near).tolist():
+            if label[j] != label[i] and similar(common(sets[i], sets[j]), sizes[i], sizes[j], t):
                 out.append((i, j))
+                label[label == label[i]] = label[j]
     return out
 
 
-def _sets(docs: DataFrame, n: int, make, schema: str | T.StructType) -> DataFrame:
-    """make(ids, sets) -> Arrow batch, over all texts of ``docs`` (doc_id, text)."""
+def suspects(marks: list[bytes], sizes: np.ndarray, t: Fraction, labels: list[int], ours: np.ndarray | None = None) -> np.ndarray:
+    """True for each set that some set of another label may be similar to, as far as sketches tell."""
+    rows, limit, out = folded(marks), difference_limits(2 * int(sizes.max(initial=0)), t), np.zeros(len(marks), bool)
+    label = np.unique(labels, return_inverse=True)[1]
+    for i in range(1, len(marks)):
+        near = may_be_similar(rows, i, sizes, limit) & (label[:i] != label[i])
+        if ours is not None:
+            near &= ours[:i] != ours[i]
+        if near.any():
+            out[i] = True
+            out[:i] |= near
+    return out
+
+
+def _binaries(column: pa.Array) -> list[memoryview]:
+    """The values of a binary column, without copies."""
+    offsets = np.frombuffer(column.buffers()[1], "i4")[column.offset : column.offset + len(column) + 1].tolist()
+    data = memoryview(column.buffers()[2] or b"")
+    return [data[a:b] for a, b in zip(offsets, offsets[1:], strict=False)]
+
+
+def _sets_of(docs: DataFrame, n: int) -> DataFrame:
+    """One row per document: doc_id, n_shingles, uid (unique), h1 and h2 (128 bits of the set's digest), and
+    elements and sketch where the task has not met the set lately (``first``)."""
+    schema = T.StructType([docs.schema[0], *(T.StructField(c, T.LongType()) for c in ("n_shingles", "uid", "h1", "h2")), T.StructField("first", T.BooleanType()), T.StructField("elements", T.BinaryType()), T.StructField("sketch", T.BinaryType())])
 
     def run(batches):
+        uid = TaskContext.get().partitionId() << 36
+        met: set[bytes] = set()
         for batch in batches:
-            for first, texts in tokens.text_slices(batch, 1):
-                got = make(batch.column(0).slice(first, len(texts)), [shingles(t, n) for t in texts])
-                if got.num_rows:
-                    yield got
+            for at, texts in tokens.text_slices(batch, 1):
+                size, h1, h2, first, elements, marks = [], [], [], [], [], []
+                for text in texts:
+                    own = shingles(text, n)
+                    size.append(len(own))
+                    data = own.tobytes()
+                    digest = hashlib.blake2b(data, digest_size=16).digest()
+                    a, b = struct.unpack("<qq", digest)
+                    h1.append(a if len(own) else None)
+                    h2.append(b if len(own) else None)
+                    new = len(own) > 0 and digest not in met
+                    if new:
+                        if len(met) >= MET:
+                            met.clear()
+                        met.add(digest)
+                    first.append(new)
+                    elements.append(data if new else None)
+                    marks.append(sketch(own) if new else None)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(size, pa.int64()), pa.array(np.arange(uid, uid + len(texts))), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(first), pa.array(elements, pa.binary()), pa.array(marks, pa.binary())], names=schema.names)
+                uid += len(texts)
 
     return docs.mapInArrow(run, schema)
 
 
+def _entries_of(sets: DataFrame, bands: Bands, wanted: Broadcast | None = None) -> DataFrame:
+    """(entry, node) of stored sets; with ``wanted`` only entries that this bit table may hold."""
+
+    def run(batches):
+        for batch in batches:
+            found, node, size = [], [], 0
+            for uid, data in zip(batch.column(0).to_pylist(), _binaries(batch.column(1)), strict=True):
+                own = entries(np.frombuffer(data, "u8"), bands).view("i8")
+                if wanted is not None:
+                    own = own[hits(wanted.value, own)]
+                found.append(own)
+                node.append(np.full(len(own), uid))
+                size += len(own)
+                if size > 200_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.concatenate(node))], names=["entry", "node"])
+                    found, node, size = [], [], 0
+            if size:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.concatenate(node))], names=["entry", "node"])
+
+    return sets.select("node", "elements").mapInArrow(run, "entry bigint, node bigint")
+
+
+def _fetched(nodes: DataFrame, sets: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """``nodes`` with columns of the stored sets; what no row asks for is dropped before the shuffle by a bit table."""
+    held = sets.sparkSession.sparkContext.broadcast(bit_table(nodes, "node"))
+    part = sets.select("node", *columns)
+    schema = part.schema
+
+    def run(batches):
+        for batch in batches:
+            keep = hits(held.value, batch.column(0).to_numpy())
+            if keep.any():
+                yield batch.filter(pa.array(keep))
+
+    return nodes.join(part.mapInArrow(run, schema), "node")
+
+
+def verified_stars(stars: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
+    """Those (a, b) of ``stars`` whose sets are similar.
+
+    A centre's set is held while the sets of its star stream by; a star of many rays is dealt over several tasks.
+    """
+    many = stars.groupBy("b").agg(F.ceil(F.count("*") / STAR).cast("bigint").alias("parts"))
+    dealt = materialise(stars.join(many, "b").select("b", F.pmod(F.xxhash64("a"), F.col("parts")).alias("part"), F.col("a").alias("node")), "rays")
+    centres = dealt.select("b", "part").distinct().select("b", "part", F.col("b").alias("node"))
+    rows = _fetched(dealt.withColumn("ray", F.lit(True)).unionByName(centres.withColumn("ray", F.lit(False))), sets, ("elements",))
+
+    def run(batches):
+        key = centre = None
+        for batch in batches:
+            a, b = [], []
+            for where, node, ray, data in zip(zip(batch.column("b").to_pylist(), batch.column("part").to_pylist(), strict=True), batch.column("node").to_pylist(), batch.column("ray").to_pylist(), _binaries(batch.column("elements")), strict=True):
+                if not ray:
+                    key, centre = where, np.frombuffer(bytes(data), "u8")
+                    continue
+                if where != key:
+                    raise ValueError("a star has no centre")
+                own = np.frombuffer(data, "u8")
+                if similar(common(own, centre), len(own), len(centre), t):
+                    a.append(node)
+                    b.append(where[0])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    rows = rows.select("b", "part", "ray", "node", "elements").repartition("b", "part").sortWithinPartitions("b", "part", "ray")
+    links = materialise(rows.mapInArrow(run, "a bigint, b bigint"), "links")
+    release(dealt)
+    return links
+
+
+def _tiled(rows: DataFrame, sets: DataFrame, columns: tuple[str, ...], weight: Column, most: int) -> DataFrame:
+    """Rows (entry, node, label) with columns of their sets, dealt over tiles (i, j) of two chunks of some ``most`` in weight.
+
+    A tile with i = j compares one chunk with itself, others one chunk with another.
+    """
+    own = materialise(_fetched(rows, sets, columns), "members")
+    chunks = own.groupBy("entry").agg(F.ceil(F.sum(weight) / most).cast("int").alias("chunks"))
+    own = own.join(chunks, "entry").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
+    own = own.withColumn("other", other).withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other"))
+    return own.select("entry", "i", "j", (F.col("chunk") == F.col("i")).alias("ours"), "node", "label", *columns).repartition("entry", "i", "j").sortWithinPartitions("entry", "i", "j")
+
+
+def _by_tile(batches, columns: int):
+    """(key, rows) of each tile of a partition, rows as lists by column: ours, node, label and what follows."""
+    key, held = None, None
+    for batch in batches:
+        keys = list(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True))
+        cols = [batch.column(c).to_pylist() for c in range(3, 6 + columns)]
+        first = 0
+        while first < len(keys):
+            last = first + 1
+            while last < len(keys) and keys[last] == keys[first]:
+                last += 1
+            if keys[first] != key:
+                if held:
+                    yield key, held
+                key, held = keys[first], [[] for _ in cols]
+            for h, c in zip(held, cols, strict=True):
+                h += c[first:last]
+            first = last
+    if held:
+        yield key, held
+
+
 def jaccard_components(df: DataFrame, threshold: str = "0.9", n: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id per row of ``df``: documents whose sets are similar, transitively.
 
@@ -192,123 +345,64 @@ def jaccard_components(df: DataFrame, threshold: str = "0.9", n: int = 3, id_col
     node, however many they are, so copies are never paired. Null ids take part, but name a component only if
     it has no other. Repeated rows give repeated results; other columns are ignored; an empty table gives none.
 
-    Exact but for collisions of 64-bit hashes. Entries and candidate links grow in proportion to the texts,
-    as each set is linked with one other of its entry only; a group's comparisons grow with the square of its
-    distinct sets, in arrays of bounded size.
+    Exact but for collisions of 64-bit hashes of shingles (sets are told apart by 128 bits). Texts are
+    hashed once; all later steps read the stored sets. Entries and candidate links grow in proportion to the
+    texts. Only what is left of an entry after its star was verified is compared pair by pair, in tiles
+    of bounded size; that part grows with the square of the sets of one entry that don't link.
     """
-    t, spark = Fraction(threshold), df.sparkSession
+    t = Fraction(threshold)
     docs = df.select(df[id_col].alias("doc_id"), df[text_col].alias("text"))
-    bands = Bands(t)
-
-    def nodes(ids, sets):
-        return pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64())], names=["doc_id", "n_shingles", "node"])
-
-    doc_nodes = materialise(_sets(docs, n, nodes, T.StructType([docs.schema[0], T.StructField("n_shingles", T.LongType()), T.StructField("node", T.LongType())])), "nodes")
-
-    def index():
-        met: set[int] = set()  # sets that this task has indexed: equal ones add nothing
-
-        def make(ids, sets):
-            entry, node = [], []
-            for s in sets:
-                own = set_id(s)
-                if own is None or own in met:
-                    continue
-                if len(met) < 200_000:
-                    met.add(own)
-                entry.append(entries(s, bands))
-                node.append(np.full(len(entry[-1]), own))
-            if not entry:
-                return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, names=["entry", "node"])
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(entry).view("i8")), pa.array(np.concatenate(node).astype("i8"))], names=["entry", "node"])
-
-        return make
-
-    def indexed():
-        return _sets(docs, n, index(), "entry bigint, node bigint")
-
-    # the least node of each entry that several sets have; min and max combine before the shuffle
-    shared = indexed().groupBy("entry").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("entry", "least")
-    shared = materialise(shared, "shared")
-    stars = indexed().join(shared, "entry").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
-    stars = materialise(stars, "stars")
-    groups = materialise(components(stars), "groups").withColumnRenamed("root", "grp")
-    release(shared)
+    spark, bands = docs.sparkSession, Bands(t)
+    rows = materialise(_sets_of(docs, n), "sets")
+    sets = rows.where("first").withColumnRenamed("uid", "node")
+
+    # equal sets that several tasks stored are one node, the least
+    equal = rows.where("h1 is not null").groupBy("h1", "h2").agg(F.min(F.when(F.col("first"), F.col("uid"))).alias("node"), F.min("doc_id").alias("least"))
+    equal = materialise(equal, "equal")
+    twins = materialise(rows.where("first").select("uid", "h1", "h2").join(equal, ["h1", "h2"]).where("uid <> node").select(F.col("uid").alias("twin"), F.col("node").alias("one")), "twins")
+
+    # entries that several sets have: their minimum and maximum combine before the shuffle
+    shared = _entries_of(sets, bands).groupBy("entry").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("entry")
+    held = spark.sparkContext.broadcast(bit_table(shared, "entry"))
+    met = _entries_of(sets, bands, held).join(twins, F.col("node") == F.col("twin"), "left").select("entry", F.coalesce("one", "node").alias("node")).distinct()
+    met = materialise(met, "met")
+    held.unpersist()
+    release(twins)
+
+    # each set against the least of its entry
+    least = met.groupBy("entry").agg(F.min("node").alias("b"))
+    stars = materialise(met.join(least, "entry").where("node <> b").select(F.col("node").alias("a"), "b").distinct(), "stars")
+    links = verified_stars(stars, sets, t)
     release(stars)
+    classes = components(links)
 
-    # the elements of every set in a group, once
-    bits = groups.select(F.pmod(F.col("node"), F.lit(FILTER_BITS)).alias("p")).select((F.col("p") / 8).cast("int").alias("byte"), F.expr("shiftleft(1, cast(p % 8 as int))").alias("bit")).groupBy("byte").agg(F.bit_or("bit").alias("bits"))
-    table = np.zeros(FILTER_BITS // 8, "u1")  # 4 MB at most
-    for b in bits.toArrow().to_batches():
-        table[b.column("byte").to_numpy()] = b.column("bits").to_numpy()
-    held = spark.sparkContext.broadcast(table.tobytes())
-
-    def elements():
-        met: set[int] = set()
-
-        def make(ids, sets):
-            node, value = [], []
-            for s in sets:
-                own = set_id(s)
-                if own is None or own in met or not held.value[own % FILTER_BITS // 8] >> (own % 8) & 1:
-                    continue
-                if len(met) < 200_000:
-                    met.add(own)
-                node.append(own)
-                value.append(s.tobytes())
-            return pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(value, pa.binary())], names=["node", "elements"])
-
-        return make
-
-    sizes = doc_nodes.where("node is not null").groupBy("node").agg(F.max("n_shingles").alias("size"))
-    placed = groups.join(sizes, "node")
-    chunks = placed.groupBy("grp").agg(F.ceil(F.sum("size") / TILE_ELEMENTS).cast("int").alias("chunks"))
-    placed = placed.join(chunks, "grp").select("node", "grp", "chunks", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"))
-    placed = materialise(placed, "placed")
-    if placed.count() <= BROADCAST_SETS:
-        placed = F.broadcast(placed)
-    # a set that several tasks met arrives several times; the comparison keeps one
-    own = _sets(docs, n, elements(), "node bigint, elements binary").join(placed, "node")
-    tiled = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("grp", "chunks", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "node", "elements")
+    # entries that this left with several classes; of entries with the same sets one is enough
+    labelled = met.join(classes.withColumnsRenamed({"node": "v", "root": "label"}), F.col("node") == F.col("v"), "left").select("entry", "node", F.coalesce("label", "node").alias("label"))
+    labelled = materialise(labelled, "labelled")
+    release(met)
+    mark = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")]
+    several = labelled.groupBy("entry").agg(F.min("label").alias("low"), F.max("label").alias("high"), *mark).where("low < high").groupBy("n", "x", "y").agg(F.min("entry").alias("entry")).select("entry")
+    left = materialise(labelled.join(several, "entry"), "left")
+    release(labelled)
 
-    def compare(batches):
-        key, nodes_, sets, out, met = None, [], [], [], set()
+    def suspect(batches):
+        for key, (ours, node, label, size, marks) in _by_tile(batches, 2):
+            found = np.flatnonzero(suspects(marks, np.array(size), t, label, np.array(ours) if key[1] != key[2] else None))
+            yield pa.RecordBatch.from_arrays([pa.array([key[0]] * len(found), pa.int64()), pa.array([node[k] for k in found], pa.int64()), pa.array([label[k] for k in found], pa.int64())], names=["entry", "node", "label"])
 
-        def flush():
-            if len(sets) > 1:
-                for x, y in links_within(sets, t):
-                    out.append((nodes_[x], nodes_[y], key[1] > 1))
+    def compare(batches):
+        for key, (ours, node, label, marks, data) in _by_tile(batches, 2):
+            found = links_within([np.frombuffer(x, "u8") for x in data], t, label, marks, np.array(ours) if key[1] != key[2] else None)
+            yield pa.RecordBatch.from_arrays([pa.array([node[k] for k, _ in found], pa.int64()), pa.array([node[k] for _, k in found], pa.int64())], names=["a", "b"])
 
-        for batch in batches:
-            for grp, many, i, j, node, data in zip(*(batch.column(c).to_pylist() for c in ("grp", "chunks", "i", "j", "node", "elements")), strict=True):
-                if (grp, many, i, j) != key:
-                    flush()
-                    key, nodes_, sets = (grp, many, i, j), [], []
-                    met.clear()
-                if node in met:
-                    continue
-                met.add(node)
-                nodes_.append(node)
-                sets.append(np.frombuffer(data, "u8"))
-            if len(out) > 50_000:
-                yield _links(out)
-                out.clear()
-        flush()
-        if out:
-            yield _links(out)
-
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    links = materialise(tiled.repartition(parts, "grp", "i", "j").sortWithinPartitions("grp", "i", "j").mapInArrow(compare, "a bigint, b bigint, tiled boolean"), "links")
-    classes = components(links)
+    near = materialise(_tiled(left, sets, ("n_shingles", "sketch"), F.octet_length("sketch") + 256, TILE_BYTES).mapInArrow(suspect, "entry bigint, node bigint, label bigint").distinct(), "near")
+    release(left)
+    more = materialise(_tiled(near, sets, ("sketch", "elements"), F.octet_length("elements") + 256, TILE_BYTES).mapInArrow(compare, "a bigint, b bigint"), "more")
+    release(near)
+    classes = components(classes.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
     # the smallest document of each node, then of each class
-    least = doc_nodes.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
-    classed = least.join(classes, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    classed = equal.join(classes, "node", "left").select("h1", "h2", "least", F.coalesce("root", "node").alias("root"))
     first = classed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = classed.join(first, "root").select("node", "component_id")
-    return doc_nodes.join(named, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-
-
-def _links(rows: list[tuple[int, int, bool]]) -> pa.RecordBatch:
-    a, b, many = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(many, pa.bool_())], names=["a", "b", "tiled"])
+    named = classed.join(first, "root").select("h1", "h2", "component_id")
+    return rows.select("doc_id", "n_shingles", "h1", "h2").join(named, ["h1", "h2"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -11,7 +11,9 @@ import gc
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -64,3 +66,40 @@ def materialise(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -
 def release(df: DataFrame) -> None:
     """Drop a table that materialise() wrote and that nothing reads any more."""
     remove(df.sparkSession, df._tidegrid_uri)
+
+
+#: Bits of a filter: 4 MB whatever the corpus; a larger one only lets more pass.
+FILTER_BITS = 1 << 25
+
+
+def bit_table(df: DataFrame, column: str) -> np.ndarray:
+    """A filter of the values of a bigint column, as bytes: a value that hits() denies is not in it.
+
+    Words of 64 bits are made by the tasks; at most FILTER_BITS / 64 of them (some 6 MB) reach the driver.
+    """
+    place = F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
+    words = df.select(place.alias("p")).select(F.expr("cast(p div 64 as int)").alias("word"), F.expr("shiftleft(1L, cast(p % 64 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    out = np.zeros(FILTER_BITS // 64, "i8")
+    for b in words.toArrow().to_batches():
+        out[b.column("word").to_numpy()] = b.column("bits").to_numpy()
+    return out.view("u1")
+
+
+def hits(table: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """True for each value (bigint) that a bit_table() may hold."""
+    place = xxh64_of_longs(values) & np.uint64(FILTER_BITS - 1)
+    return (table[(place >> np.uint64(3)).astype("i8")] >> (place & np.uint64(7)).astype("u1")) & 1 == 1
+
+
+def xxh64_of_longs(values: np.ndarray, seed: int = 42) -> np.ndarray:
+    """Spark's xxhash64 of a bigint column (XXH64 of its eight bytes), as unsigned integers."""
+    u = np.uint64
+    p1, p2, p3, p4, p5 = map(u, (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))  # fixed values of XXH64
+    turn = lambda x, n: (x << u(n)) | (x >> u(64 - n))
+    with np.errstate(over="ignore"):
+        h = u(seed) + p5 + u(8)
+        h = h ^ (turn(values.astype("i8").view("u8") * p2, 31) * p1)
+        h = turn(h, 27) * p1 + p4
+        h = (h ^ (h >> u(33))) * p2
+        h = (h ^ (h >> u(29))) * p3
+        return h ^ (h >> u(32))
