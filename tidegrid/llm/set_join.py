@@ -32,7 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 from pyspark.core.broadcast import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,7 +42,7 @@ from tidegrid.llm.shared import bit_table, hits, materialise, release
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 U = np.uint64
-#: Bytes of a chunk of an entry's sets; a tile compares two chunks.
+#: Bytes of a chunk of an entry's sets, a thirty-second of it where only sketches are compared; a tile compares two chunks.
 TILE_BYTES = 4 << 20
 #: Sets of a star that one task streams past its centre.
 STAR = 512
@@ -135,8 +135,8 @@ def common(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def sketch(found: np.ndarray) -> bytes:
-    """Parities of the set's elements in 2n to 4n cells: cells that differ are at most the elements that differ."""
-    cells = max(64, 1 << (2 * len(found) - 1).bit_length())
+    """Parities of the set's elements in n to 2n cells: cells that differ are at most the elements that differ."""
+    cells = max(64, 1 << (len(found) - 1).bit_length())
     odd = np.bincount((mix(found ^ U(0x5851F42D4C957F2D)) & U(cells - 1)).astype("i8"), minlength=cells) & 1
     return np.packbits(odd.astype(bool), bitorder="little").tobytes()
 
@@ -237,8 +237,8 @@ def _entries_of(sets: DataFrame, bands: Bands, wanted: Broadcast | None = None)
     """(entry, node) of stored sets; with ``wanted`` only entries that this bit table may hold."""
 
     def run(batches):
+        found, node, size = [], [], 0
         for batch in batches:
-            found, node, size = [], [], 0
             for uid, data in zip(batch.column(0).to_pylist(), _binaries(batch.column(1)), strict=True):
                 own = entries(np.frombuffer(data, "u8"), bands).view("i8")
                 if wanted is not None:
@@ -249,8 +249,8 @@ def _entries_of(sets: DataFrame, bands: Bands, wanted: Broadcast | None = None)
                 if size > 200_000:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.concatenate(node))], names=["entry", "node"])
                     found, node, size = [], [], 0
-            if size:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.concatenate(node))], names=["entry", "node"])
+        if size:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.concatenate(node))], names=["entry", "node"])
 
     return sets.select("node", "elements").mapInArrow(run, "entry bigint, node bigint")
 
@@ -270,49 +270,66 @@ def _fetched(nodes: DataFrame, sets: DataFrame, columns: tuple[str, ...]) -> Dat
     return nodes.join(part.mapInArrow(run, schema), "node")
 
 
-def verified_stars(stars: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
-    """Those (a, b) of ``stars`` whose sets are similar.
+def _along_stars(stars: DataFrame, sets: DataFrame, columns: tuple[str, ...], test) -> DataFrame:
+    """Those (a, b) of ``stars`` whose sets pass test(row of a, row of b), a row being the values of ``columns``.
 
-    A centre's set is held while the sets of its star stream by; a star of many rays is dealt over several tasks.
+    A centre is held while its rays stream by; a star of many rays is dealt over several tasks.
     """
     many = stars.groupBy("b").agg(F.ceil(F.count("*") / STAR).cast("bigint").alias("parts"))
     dealt = materialise(stars.join(many, "b").select("b", F.pmod(F.xxhash64("a"), F.col("parts")).alias("part"), F.col("a").alias("node")), "rays")
     centres = dealt.select("b", "part").distinct().select("b", "part", F.col("b").alias("node"))
-    rows = _fetched(dealt.withColumn("ray", F.lit(True)).unionByName(centres.withColumn("ray", F.lit(False))), sets, ("elements",))
+    rows = _fetched(dealt.withColumn("ray", F.lit(True)).unionByName(centres.withColumn("ray", F.lit(False))), sets, columns)
 
     def run(batches):
         key = centre = None
         for batch in batches:
             a, b = [], []
-            for where, node, ray, data in zip(zip(batch.column("b").to_pylist(), batch.column("part").to_pylist(), strict=True), batch.column("node").to_pylist(), batch.column("ray").to_pylist(), _binaries(batch.column("elements")), strict=True):
+            values = zip(*(_binaries(c) if pa.types.is_binary(c.type) else c.to_pylist() for c in batch.columns[4:]), strict=True)
+            for where, ray, node, own in zip(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True), batch.column(2).to_pylist(), batch.column(3).to_pylist(), values, strict=True):
                 if not ray:
-                    key, centre = where, np.frombuffer(bytes(data), "u8")
-                    continue
-                if where != key:
+                    key, centre = where, tuple(bytes(x) if isinstance(x, memoryview) else x for x in own)
+                elif where != key:
                     raise ValueError("a star has no centre")
-                own = np.frombuffer(data, "u8")
-                if similar(common(own, centre), len(own), len(centre), t):
+                elif test(own, centre):
                     a.append(node)
                     b.append(where[0])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    rows = rows.select("b", "part", "ray", "node", "elements").repartition("b", "part").sortWithinPartitions("b", "part", "ray")
+    rows = rows.select("b", "part", "ray", "node", *columns).repartition("b", "part").sortWithinPartitions("b", "part", "ray")
     links = materialise(rows.mapInArrow(run, "a bigint, b bigint"), "links")
     release(dealt)
     return links
 
 
-def _tiled(rows: DataFrame, sets: DataFrame, columns: tuple[str, ...], weight: Column, most: int) -> DataFrame:
-    """Rows (entry, node, label) with columns of their sets, dealt over tiles (i, j) of two chunks of some ``most`` in weight.
+def verified_stars(stars: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
+    """Those (a, b) of ``stars`` whose sets are similar: first by sizes and sketches, then what is left by elements."""
+    p, q = t.denominator - t.numerator, t.denominator + t.numerator
+
+    def may(a, b) -> bool:
+        rows, total = folded([a[1], b[1]]), a[0] + b[0]
+        return max(int(np.bitwise_count(rows[0] ^ rows[1]).sum()), abs(a[0] - b[0])) <= total * p // q
+
+    def exact(a, b) -> bool:
+        a, b = np.frombuffer(a[0], "u8"), np.frombuffer(b[0], "u8")
+        return similar(common(a, b), len(a), len(b), t)
+
+    near = _along_stars(stars, sets, ("n_shingles", "sketch"), may)
+    links = _along_stars(near, sets, ("elements",), exact)
+    release(near)
+    return links
+
+
+def _tiled(rows: DataFrame, sets: DataFrame, columns: tuple[str, ...], bytes_each: float, most: int) -> DataFrame:
+    """Rows (entry, node, label, n_shingles) dealt over tiles (i, j) of two chunks of ``most`` bytes, with columns of their sets.
 
-    A tile with i = j compares one chunk with itself, others one chunk with another.
+    A set takes some ``bytes_each`` per shingle. A tile with i = j compares one chunk with itself, others one
+    chunk with another. Rows are dealt before anything is fetched for them.
     """
-    own = materialise(_fetched(rows, sets, columns), "members")
-    chunks = own.groupBy("entry").agg(F.ceil(F.sum(weight) / most).cast("int").alias("chunks"))
-    own = own.join(chunks, "entry").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    own = own.withColumn("other", other).withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other"))
-    return own.select("entry", "i", "j", (F.col("chunk") == F.col("i")).alias("ours"), "node", "label", *columns).repartition("entry", "i", "j").sortWithinPartitions("entry", "i", "j")
+    chunks = rows.groupBy("entry").agg(F.ceil(F.sum(F.col("n_shingles") * bytes_each + 256) / most).cast("int").alias("chunks"))
+    own = rows.join(chunks, "entry").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other"))
+    own = materialise(own.select("entry", "i", "j", (F.col("chunk") == F.col("i")).alias("ours"), "node", "label", "n_shingles"), "dealt")
+    return _fetched(own, sets, columns).select("entry", "i", "j", "ours", "node", "label", "n_shingles", *columns).repartition("entry", "i", "j").sortWithinPartitions("entry", "i", "j")
 
 
 def _by_tile(batches, columns: int):
@@ -377,27 +394,28 @@ def jaccard_components(df: DataFrame, threshold: str = "0.9", n: int = 3, id_col
     classes = components(links)
 
     # entries that this left with several classes; of entries with the same sets one is enough
-    labelled = met.join(classes.withColumnsRenamed({"node": "v", "root": "label"}), F.col("node") == F.col("v"), "left").select("entry", "node", F.coalesce("label", "node").alias("label"))
+    labels = classes.withColumnsRenamed({"node": "v", "root": "label"})
+    labelled = met.join(labels, F.col("node") == F.col("v"), "left").select("entry", "node", F.coalesce("label", "node").alias("label"))
     labelled = materialise(labelled, "labelled")
     release(met)
     mark = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")]
     several = labelled.groupBy("entry").agg(F.min("label").alias("low"), F.max("label").alias("high"), *mark).where("low < high").groupBy("n", "x", "y").agg(F.min("entry").alias("entry")).select("entry")
-    left = materialise(labelled.join(several, "entry"), "left")
+    left = materialise(labelled.join(several, "entry").join(sets.select("node", "n_shingles"), "node").select("entry", "node", "label", "n_shingles"), "left")
     release(labelled)
 
     def suspect(batches):
         for key, (ours, node, label, size, marks) in _by_tile(batches, 2):
             found = np.flatnonzero(suspects(marks, np.array(size), t, label, np.array(ours) if key[1] != key[2] else None))
-            yield pa.RecordBatch.from_arrays([pa.array([key[0]] * len(found), pa.int64()), pa.array([node[k] for k in found], pa.int64()), pa.array([label[k] for k in found], pa.int64())], names=["entry", "node", "label"])
+            yield pa.RecordBatch.from_arrays([pa.array([key[0]] * len(found), pa.int64()), *(pa.array([x[k] for k in found], pa.int64()) for x in (node, label, size))], names=["entry", "node", "label", "n_shingles"])
 
     def compare(batches):
-        for key, (ours, node, label, marks, data) in _by_tile(batches, 2):
+        for key, (ours, node, label, _, marks, data) in _by_tile(batches, 3):
             found = links_within([np.frombuffer(x, "u8") for x in data], t, label, marks, np.array(ours) if key[1] != key[2] else None)
             yield pa.RecordBatch.from_arrays([pa.array([node[k] for k, _ in found], pa.int64()), pa.array([node[k] for _, k in found], pa.int64())], names=["a", "b"])
 
-    near = materialise(_tiled(left, sets, ("n_shingles", "sketch"), F.octet_length("sketch") + 256, TILE_BYTES).mapInArrow(suspect, "entry bigint, node bigint, label bigint").distinct(), "near")
+    near = materialise(_tiled(left, sets, ("sketch",), 0.25, TILE_BYTES // 32).mapInArrow(suspect, "entry bigint, node bigint, label bigint, n_shingles bigint").distinct(), "near")
     release(left)
-    more = materialise(_tiled(near, sets, ("sketch", "elements"), F.octet_length("elements") + 256, TILE_BYTES).mapInArrow(compare, "a bigint, b bigint"), "more")
+    more = materialise(_tiled(near, sets, ("sketch", "elements"), 8.25, TILE_BYTES).mapInArrow(compare, "a bigint, b bigint"), "more")
     release(near)
     classes = components(classes.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
