@@ -16,6 +16,8 @@ ODD = [
     "日本語テキスト 12345 ²³ é́ 😀😀 ΣΑΣ ẞſ İ",
     "a" * 300,
     "!!'re 're'll'd",
+    "One two, three. Four\nfive \nsix\n seven's eight) nine;) \ttab end ",
+    " lead ünd ÉTÉ, x1, 12, 日本, a\x1cb \x1c c <|endoftext|>, d",
 ]
 
 
@@ -39,7 +41,7 @@ def test_cache_is_bounded(monkeypatch):
     own = tokens.UnitEncoder(WORD, False)
     texts = [" ".join(f"w{i}" for i in range(k, k + 15)) for k in range(40)]
     want = [np.array(e.ids, "<u4").tobytes() for e in tokens.tokenizer(WORD).encode_batch_fast(texts, add_special_tokens=False)]
-    assert own.encode(texts) == want and len(own) <= 20 and len(own.pieces) <= 20
+    assert own.encode(texts) == want and len(own.units) + len(own.units.old) <= 20
 
 
 def test_prefix_table_equals_library_at_every_prefix():
@@ -79,8 +81,8 @@ def check_packing(rows, texts, capacity):
             at += length
         assert at <= capacity
     want = {}
-    for (i, _), data in zip(texts, tokens.encoder(WORD, False).encode([t or "" for _, t in texts]), strict=True):
-        data += b"\0\0\0\0"
+    for (i, _), found in zip(texts, tokens.tokenizer(WORD).encode_batch_fast([t or "" for _, t in texts], add_special_tokens=False), strict=True):
+        data = np.array([*found.ids, 0], "<u4").tobytes()
         want.setdefault(i, []).extend((n, a, min(capacity, len(data) // 4 - a), zlib.crc32(data[4 * a : 4 * (a + capacity)])) for n, a in enumerate(range(0, len(data) // 4, capacity)))
     assert {k: sorted(v) for k, v in by_doc.items()} == {k: sorted(v) for k, v in want.items()}
     return len(by_seq)

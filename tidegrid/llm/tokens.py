@@ -25,8 +25,12 @@ BYTE_PRE = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{
 WORD_PRE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|" + f"[^{SPACE}" + r"\p{L}\p{N}]+")
 #: Code points that no normaliser here changes but by plain lower case: ASCII, Latin-1, Latin Extended-A (composed; not I with dot).
 PLAIN = re.compile("[\x00-\u012f\u0131-\u017e]*")
-#: Units that a worker remembers (about 200 bytes each), half of them from the round before.
-CACHE_UNITS = 500_000
+#: A space with white space behind it or at the end (characters that only Python counts as such do no harm).
+RUN = re.compile(r" (?:\s|\Z)")
+#: Marks that are a pre-token of their own behind a word.
+MARKS = frozenset(".,;:!?)")
+#: Units that a worker remembers per cache (about 200 bytes each), half of them from the generation before.
+CACHE_UNITS = 480_000
 
 
 def byte_symbols() -> dict[int, str]:
@@ -64,56 +68,80 @@ def words(text: str) -> list[str]:
 _SEPARATORS = re.compile("[\x1c-\x1f]")  # str.split() drops these; they aren't White_Space
 
 
-class UnitEncoder(dict):
-    """Ids of whole texts as little-endian unsigned 32-bit bytes; also the cache: unit -> ids.
+class Remembered(dict):
+    """make(key) -> (value, whether to remember it), in two generations of half of CACHE_UNITS entries each."""
 
-    Units of ASCII and Latin letters go to the library's merge model directly, by the pre-tokens that the
-    file's pattern gives; all others, and those with a special string, go through the whole library.
+    def __init__(self, make):
+        self.make, self.old = make, {}
+
+    def __missing__(self, key):
+        if (value := self.old.get(key)) is None:
+            value, keep = self.make(key)
+            if not keep:
+                return value
+        if len(self) >= CACHE_UNITS // 2:  # entries of the last generation stay within reach
+            self.old = self.copy()
+            self.clear()
+        self[key] = value
+        return value
+
+
+class UnitEncoder:
+    """Ids of whole texts as little-endian unsigned 32-bit bytes, with a cache of units.
+
+    A pre-token by itself is a unit too, so both are remembered in one place. Units of ASCII and Latin letters
+    go to the library's merge model directly, by the pre-tokens that the file's pattern gives; all others, and
+    those with a special string, go through the whole library. A word with one mark behind it is put together
+    from both and not remembered.
     """
 
     def __init__(self, path: str, keep_space: bool):
-        self.tokenizer, self.cut = tokenizer(path), units if keep_space else words
+        self.tokenizer, self.keep_space = tokenizer(path), keep_space
         spec = json.loads(self.tokenizer.to_str())
         self.fold = any(n["type"] == "Lowercase" for n in (spec["normalizer"] or {}).get("normalizers", []))
         self.pattern = WORD_PRE if self.fold else BYTE_PRE
         self.model = self.tokenizer.model
-        self.pieces: dict[str, bytes] = {}
-        self.old_pieces: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def __missing__(self, unit: str) -> bytes:
-        if (ids := self.old.get(unit)) is None:
-            ids = self.ids(unit)
-        if len(self) >= CACHE_UNITS // 2:  # units of the last round stay within reach
-            self.old = dict(self)
-            self.clear()
-        self[unit] = ids
-        return ids
-
-    def ids(self, unit: str) -> bytes:
+        self.units = Remembered(self._unit)
+        self.spaced = Remembered(lambda word: self._unit(f" {word}"))  # by the word behind one space
+
+    def _merged(self, unit: str) -> bytes:
+        """Ids of one pre-token."""
+        symbols = unit if unit.isascii() and " " not in unit and unit.isprintable() else unit.encode().decode("latin-1").translate(SYMBOLS)
+        return array("I", [t.id for t in self.model.tokenize(symbols)]).tobytes()
+
+    def _unit(self, unit: str) -> tuple[bytes, bool]:
+        word = unit[1:] if unit[0] == " " and len(unit) > 1 else unit
+        if word.isalpha():  # a word of letters, behind one space at most, is one pre-token
+            if PLAIN.fullmatch(word) is None:
+                return self._whole(unit), True
+            if self.fold and (low := unit.lower()) != unit:
+                return self.units[low], True
+            return self._merged(unit), True
+        if word[-1] in MARKS and word[:-1].isalpha() and PLAIN.fullmatch(word) is not None:
+            return (self.spaced[word[:-1]] if word is not unit else self.units[unit[:-1]]) + self.units[word[-1]], False
         if PLAIN.fullmatch(unit) is None or "<|" in unit:
-            return np.array(self.tokenizer.encode(unit, add_special_tokens=False).ids, "<u4").tobytes()
-        out, pieces = [], self.pieces
+            return self._whole(unit), True
         if self.fold:
             unit = unit.lower()
-        # a word of letters, behind one space at most, is one pre-token
-        one_word = unit.isalpha() or (unit[0] == " " and unit[1:].isalpha())
-        for p in (unit,) if one_word else self.pattern.findall(unit):
-            if (one := pieces.get(p)) is None and (one := self.old_pieces.get(p)) is not None:
-                pieces[p] = one
-            if one is None:
-                symbols = p if p.isascii() and " " not in p and p.isprintable() else p.encode().decode("latin-1").translate(SYMBOLS)
-                one = array("I", [t.id for t in self.model.tokenize(symbols)]).tobytes()
-                if len(pieces) >= CACHE_UNITS // 2:
-                    self.old_pieces = dict(pieces)
-                    pieces.clear()
-                pieces[p] = one
-            out.append(one)
-        return b"".join(out) if len(out) != 1 else out[0]
+        pieces = self.pattern.findall(unit)
+        if len(pieces) == 1:
+            return self._merged(unit), True
+        return b"".join(map(self.units.__getitem__, pieces)), True
+
+    def _whole(self, unit: str) -> bytes:
+        return np.array(self.tokenizer.encode(unit, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        get, cut = self.__getitem__, self.cut
-        return [b"".join(map(get, cut(t))) for t in texts]
+        unit, spaced, out = self.units.__getitem__, self.spaced.__getitem__, []
+        for text in texts:
+            if not self.keep_space:
+                out.append(b"".join(map(unit, words(text))))
+            elif text and RUN.search(text) is None:  # single spaces, each before a word: they go with it
+                first, *rest = text.split(" ")
+                out.append(b"".join([unit(first) if first else b"", *map(spaced, rest)]))
+            else:
+                out.append(b"".join(map(unit, units(text))))
+        return out
 
 
 _encoders: dict[tuple[str, bool], UnitEncoder] = {}
@@ -126,7 +154,7 @@ def encoder(path: str, keep_space: bool) -> UnitEncoder:
     return _encoders[path, keep_space]
 
 
-def text_slices(batch, text_at: int, most_chars: int = 4_000_000):
+def text_slices(batch, text_at: int, most_chars: int = 1_000_000):
     """(first row, texts) of an Arrow batch, in slices of bounded size; a null text is empty."""
     texts = batch.column(text_at).to_pylist()
     first, size = 0, 0
