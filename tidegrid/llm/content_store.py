@@ -10,7 +10,7 @@ Layout of a store below one folder, all Parquet so that any store Spark reaches
 * ``manifest``: Merkle levels over the recipes' roots, 1024 children to a node; the single node of the
   highest level is the digest of the whole store.
 
-A chunk ends where a rolling hash over the last 16 ids has its low bits zero, so equal passages give equal
+A chunk ends where a rolling hash over the last 16 ids has nine given bits zero, so equal passages give equal
 chunks wherever they stand. Reading checks each chunk against its hash, each recipe against its root and
 the manifest against the recipes. The CRC-32 of a whole document follows from those of its chunks (a
 CRC is linear over GF(2)), so verification moves some 40 bytes per chunk, never the ids.
@@ -33,6 +33,10 @@ from tidegrid.llm.shared import materialise, new_dir, release
 
 WINDOW, LEAST, MOST, MASK = 16, 64, 4096, 511
 NODE = 1024
+#: Hashes that a task remembers, so that it stores equal chunks once.
+MET = 100_000
+#: Repeated chunks up to this number (eight bytes each) are broadcast to the write; more are dropped by a shuffle join.
+BROADCAST_REPEATS = 500_000
 END_ID = (0).to_bytes(4, "little")
 #: Reflected CRC-32 polynomial (fixed value).
 POLY = 0xEDB88320
@@ -55,30 +59,36 @@ def _powers(n: int) -> list[np.ndarray]:
     return [p[:n] for p in _held]
 
 
-def cut_places(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of one id stream; the last is its length."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n]
+def cut_marks(ids: np.ndarray) -> np.ndarray:
+    """Places behind which a rolling hash over the last WINDOW ids has its low bits zero."""
     x = (ids.astype("u8") + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     x ^= x >> np.uint64(29)
     # the id k places back is weighted by ODD**k; as ODD has an inverse modulo 2**64, prefix sums give all windows
-    up, down = _powers(n)
-    total = np.cumsum(x * down)
-    total[WINDOW:] -= total[:-WINDOW].copy()
-    h = total * up
-    out, last = [], 0
-    for p in np.flatnonzero((h >> np.uint64(40)) & np.uint64(MASK) == 0) + 1:
-        while p - last > MOST:
-            last += MOST
-            out.append(last)
-        if p - last >= LEAST and p < n:
-            last = int(p)
-            out.append(last)
-    while n - last > MOST:
-        last += MOST
-        out.append(last)
-    return [*out, n]
+    up, down = _powers(len(ids))
+    x *= down
+    np.cumsum(x, out=x)
+    x[WINDOW:] -= x[:-WINDOW].copy()
+    x *= up
+    return np.flatnonzero((x >> np.uint64(40)) & np.uint64(MASK) == 0) + 1
+
+
+def cut_places(marks: list[int], first: int, last: int) -> list[int]:
+    """Ends of the chunks of the stream from ``first`` to ``last``; ``marks`` are the hash's places within it.
+
+    No chunk but the last is shorter than LEAST, which exceeds WINDOW, so what stands before the stream has no effect.
+    """
+    out = []
+    for p in marks:
+        while p - first > MOST:
+            first += MOST
+            out.append(first)
+        if p - first >= LEAST and p < last:
+            first = p
+            out.append(p)
+    while last - first > MOST:
+        first += MOST
+        out.append(first)
+    return [*out, last]
 
 
 def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -100,8 +110,13 @@ def shifted(crc: np.ndarray, n_bytes: np.ndarray) -> np.ndarray:
     return out
 
 
+def id_width(path: str) -> int:
+    """Bytes that hold every id of a tokenizer file."""
+    return 2 if tokens.tokenizer(path).get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+
+
 def _encoded(df: DataFrame, path: str, id_col: str, text_col: str, width: int) -> DataFrame:
-    """Rows of kind r (a document's recipe) and c (a chunk that the task had not met lately)."""
+    """Rows of kind r (a document's recipe) and c (a chunk that the task had not met lately), each with a number of its own."""
     source = df.select(df[id_col].alias("doc_id"), df[text_col].alias("text"))
     id_type = source.schema[0].dataType
     schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("uid", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("hashes", T.ArrayType(T.BinaryType())), T.StructField("after", T.ArrayType(T.LongType())), T.StructField("root", T.BinaryType()), T.StructField("hash", T.BinaryType()), T.StructField("n", T.IntegerType()), T.StructField("data", T.BinaryType()), T.StructField("kind", T.StringType())])
@@ -109,49 +124,68 @@ def _encoded(df: DataFrame, path: str, id_col: str, text_col: str, width: int) -
     def encode(batches):
         encoder, met = tokens.encoder(path, keep_space=True), set()
         uid = TaskContext.get().partitionId() << 36
+        blake, sha = hashlib.blake2b, hashlib.sha256
         for batch in batches:
             arrow = pa.schema([("doc_id", batch.schema.field(0).type), ("uid", pa.int64()), ("n_tokens", pa.int64()), ("hashes", pa.list_(pa.binary())), ("after", pa.list_(pa.int64())), ("root", pa.binary()), ("hash", pa.binary()), ("n", pa.int32()), ("data", pa.binary()), ("kind", pa.string())])
-            for first, texts in tokens.text_slices(batch, 1, 2_000_000):
-                recipes, chunks = [], []
-                for data in encoder.encode(texts):
-                    data += END_ID
-                    ids = np.frombuffer(data, "<u4")
-                    ends = cut_places(ids)
-                    hashes = []
-                    for a, b in zip([0, *ends], ends, strict=False):
-                        h = hashlib.blake2b(data[4 * a : 4 * b], digest_size=16).digest()
-                        hashes.append(h)
+            for row, texts in tokens.text_slices(batch, 1, 1_000_000):
+                each = [data + END_ID for data in encoder.encode(texts)]
+                bounds = np.cumsum([0, *(len(x) // 4 for x in each)])
+                data = b"".join(each)
+                del each
+                ids = np.frombuffer(data, "<u4")
+                narrow, marks = ids.astype(f"<u{width}").tobytes(), cut_marks(ids)
+                split = np.searchsorted(marks, bounds, side="right").tolist()
+                marks, bounds = marks.tolist(), bounds.tolist()
+                hashes, after, roots, chunks = [], [], [], []
+                for k, (first, last) in enumerate(zip(bounds, bounds[1:], strict=False)):
+                    own, ends, a = [], cut_places(marks[split[k] : split[k + 1]], first, last), first
+                    for b in ends:
+                        own.append(h := blake(data[4 * a : 4 * b], digest_size=16).digest())
                         if h not in met:
-                            if len(met) > 200_000:
+                            if len(met) > MET:
                                 met.clear()
                             met.add(h)
-                            chunks.append((h, b - a, ids[a:b].astype(f"<u{width}").tobytes()))
-                    recipes.append((uid, len(ids), hashes, [len(ids) - e for e in ends], hashlib.sha256(b"".join(hashes)).digest()))
-                    uid += 1
+                            chunks.append((h, b - a, narrow[width * a : width * b]))
+                        a = b
+                    hashes.append(own)
+                    after.append([last - b for b in ends])
+                    roots.append(sha(b"".join(own)).digest())
+                n = len(texts)
                 nulls = lambda t, n: pa.nulls(n, t)
-                own = batch.column(0).slice(first, len(texts))
-                cols = list(zip(*recipes, strict=True))
-                yield pa.RecordBatch.from_arrays([own, *(pa.array(c, t) for c, t in zip(cols, arrow.types[1:6], strict=True)), *(nulls(t, len(own)) for t in arrow.types[6:9]), pa.array(["r"] * len(own))], schema=arrow)
-                if chunks:
-                    cols = list(zip(*chunks, strict=True))
-                    yield pa.RecordBatch.from_arrays([*(nulls(t, len(chunks)) for t in arrow.types[:6]), *(pa.array(c, t) for c, t in zip(cols, arrow.types[6:9], strict=True)), pa.array(["c"] * len(chunks))], schema=arrow)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, n), pa.array(np.arange(uid, uid + n)), pa.array(np.diff(bounds)), pa.array(hashes, arrow.types[3]), pa.array(after, arrow.types[4]), pa.array(roots, pa.binary()), *(nulls(t, n) for t in arrow.types[6:9]), pa.array(["r"] * n)], schema=arrow)
+                uid += n
+                if m := len(chunks):
+                    found = list(zip(*chunks, strict=True))
+                    yield pa.RecordBatch.from_arrays([nulls(arrow.types[0], m), pa.array(np.arange(uid, uid + m)), *(nulls(t, m) for t in arrow.types[2:6]), *(pa.array(c, t) for c, t in zip(found, arrow.types[6:9], strict=True)), pa.array(["c"] * m)], schema=arrow)
+                    uid += m
 
     return source.mapInArrow(encode, schema)
 
 
-def write_store(df: DataFrame, path: str, folder: str, id_col: str = "doc_id", text_col: str = "text", width: int = 2) -> None:
+def repeated_chunks(chunks: DataFrame) -> DataFrame:
+    """uid of each chunk whose hash a chunk of a lesser uid has too. Hashes and numbers are moved, never the ids."""
+    first = chunks.groupBy("hash").agg(F.min("uid").alias("first"), F.count("*").alias("times")).where("times > 1").select("hash", "first")
+    return chunks.select("hash", "uid").join(first, "hash").where("uid <> first").select("uid")
+
+
+def write_store(df: DataFrame, path: str, folder: str, id_col: str = "doc_id", text_col: str = "text", width: int | None = None) -> None:
     """Encode all texts of ``df`` and write a store to ``folder``.
 
-    ``path`` is a byte-level tokenizer file whose ids fit ``width`` bytes. Null and empty texts are the
-    end id alone. Null ids sort first; rows with the same id follow each other. An empty table gives an
-    empty store. Texts are encoded once; the task-local and the global removal of repeated chunks keep a
-    passage that a third of all documents share from gathering in one task.
+    ``path`` is a byte-level tokenizer file; ids take ``width`` bytes, by default as many as its vocabulary
+    needs. Null and empty texts are the end id alone. Null ids sort first; rows with the same id follow each
+    other. An empty table gives an empty store. Texts are encoded once, and each distinct chunk is kept where
+    its first task wrote it: repeated ones are found by hash and number and left out of a second write, so
+    a passage that a third of all documents share gathers in no task.
     """
+    spark, width = df.sparkSession, width or id_width(path)
     raw = materialise(_encoded(df, path, id_col, text_col, width), "encoded", ("kind",))
-    chunk = raw.where("kind = 'c'").select("hash", "n", "data")
-    chunk.groupBy("hash").agg(F.first("n").alias("n"), F.first("data").alias("data")).withColumn("width", F.lit(width)).write.option("compression", "zstd").parquet(f"{folder}/chunks")
+    chunk = raw.where("kind = 'c'").select("uid", "hash", "n", "data")
+    repeated = materialise(repeated_chunks(chunk), "repeated")
+    gone = F.broadcast(repeated) if repeated.count() <= BROADCAST_REPEATS else repeated
+    chunk.join(gone, "uid", "left_anti").select("hash", "n", "data", F.lit(width).alias("width")).write.option("compression", "zstd").parquet(f"{folder}/chunks")
+    release(repeated)
     recipes = raw.where("kind = 'r'").select("doc_id", "uid", "n_tokens", "hashes", "after", "root")
-    n_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = recipes.repartitionByRange(n_parts, F.col("doc_id").asc_nulls_first(), "uid").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "uid")
 
     def number(batches):
@@ -170,7 +204,7 @@ def write_store(df: DataFrame, path: str, folder: str, id_col: str = "doc_id", t
     placed.join(F.broadcast(base), "part").selectExpr("part", "row0 + at as idx", "doc_id", "id0 + before as start", "n_tokens", "hashes", "after", "root").write.option("compression", "zstd").parquet(f"{folder}/recipes")
     release(raw)
     release(placed)
-    merkle(df.sparkSession.read.parquet(f"{folder}/recipes")).write.parquet(f"{folder}/manifest")
+    merkle(spark.read.parquet(f"{folder}/recipes")).write.parquet(f"{folder}/manifest")
 
 
 def merkle(recipes: DataFrame) -> DataFrame:
