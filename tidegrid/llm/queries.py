@@ -41,7 +41,7 @@ from d left join h using (doc_id) left join t using (doc_id)
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.token_counts(table(spark, sf_dir, "documents"), BYTE_BPE, limit=1024, keep_table=False)
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), BYTE_BPE, limit=1024)
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,7 +47,7 @@ class PrefixCounter:
         self.longest = max(map(len, self.ids))
         self.apart_cache: dict[tuple[int, int], bool] = {}
         self.piece_cache: dict[str, bytes] = {}
-        self.unit_cache: dict[str, bytes] = {}
+        self.units = tokens.Remembered(lambda u: (self.unit(u), len(u) < 256))
 
     def apart(self, a: int, b: int) -> bool:
         """True if encoding the bytes of a and b together gives just these two entries."""
@@ -137,20 +137,7 @@ class PrefixCounter:
 
     def table(self, text: str) -> bytes:
         """Changes of the count at each code point of a whole text."""
-        cache, cut = self.unit_cache, tokens.units(text)
-        try:
-            return b"".join(map(cache.__getitem__, cut))
-        except KeyError:
-            if len(cache) > tokens.CACHE_UNITS:
-                cache.clear()
-            out = []
-            for u in cut:
-                if (x := cache.get(u)) is None:
-                    x = self.unit(u)
-                    if len(u) < 256:
-                        cache[u] = x
-                out.append(x)
-            return b"".join(out)
+        return b"".join(map(self.units.__getitem__, tokens.units(text)))
 
 
 _counters: dict[str, PrefixCounter] = {}
