@@ -17,7 +17,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     splitting; nothing is collected.
     """
     edges = materialise(links.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo"), (F.col(a) == F.col(b)).alias("same")).where("not same").select("hi", "lo").distinct(), "edges")
-    while True:
+    over = edges.isEmpty()
+    while not over:
         # large star: every neighbour above v is linked with the least neighbour of v
         both = edges.select(F.col("hi").alias("v"), F.col("lo").alias("u")).unionByName(edges.select(F.col("lo").alias("v"), F.col("hi").alias("u")))
         least = both.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("m"))
@@ -32,6 +33,4 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         over = after.select("lo").join(after.select(F.col("hi").alias("lo")), "lo", "left_semi").isEmpty() and after.groupBy("hi").count().where("count > 1").isEmpty()
         release(edges)
         edges = after
-        if over:
-            break
     return edges.select(F.col("hi").alias("node"), F.col("lo").alias("root")).unionByName(edges.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct())

@@ -22,7 +22,7 @@ from tidegrid.llm import tokens
 
 BUCKETS, BINS, FACTORS = 1 << 15, 16, 8
 SYMBOLS = frozenset("#$%&*@^~=+<>{}\\")
-CACHE_WORDS = 200_000
+CACHE_WORDS = 60_000
 _buckets: dict[str, int] = {}
 
 

@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 
 from tidegrid.llm import tokens
 from tidegrid.llm.components import components
-from tidegrid.llm.shared import bit_table, hits, materialise, release
+from tidegrid.llm.shared import bit_table, hits, materialise, release, settle
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 U = np.uint64
@@ -378,9 +378,9 @@ def jaccard_components(df: DataFrame, threshold: str = "0.9", n: int = 3, id_col
     equal = materialise(equal, "equal")
     twins = materialise(rows.where("first").select("uid", "h1", "h2").join(equal, ["h1", "h2"]).where("uid <> node").select(F.col("uid").alias("twin"), F.col("node").alias("one")), "twins")
 
-    # entries that several sets have: their minimum and maximum combine before the shuffle
-    shared = _entries_of(sets, bands).groupBy("entry").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("entry")
-    held = spark.sparkContext.broadcast(bit_table(shared, "entry"))
+    # entries that several sets have: a set has each of its entries once, so their number tells, and numbers combine before the shuffle
+    held = spark.sparkContext.broadcast(bit_table(_entries_of(sets, bands).groupBy("entry").agg(F.count("*").alias("times")).where("times > 1"), "entry"))
+    settle(spark)
     met = _entries_of(sets, bands, held).join(twins, F.col("node") == F.col("twin"), "left").select("entry", F.coalesce("one", "node").alias("node")).distinct()
     met = materialise(met, "met")
     held.unpersist()
@@ -419,8 +419,11 @@ def jaccard_components(df: DataFrame, threshold: str = "0.9", n: int = 3, id_col
     release(near)
     classes = components(classes.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
-    # the smallest document of each node, then of each class
+    # the smallest document of each node, then of each class; what the result doesn't read goes
+    keys = materialise(rows.select("doc_id", "n_shingles", "h1", "h2"), "keys")
     classed = equal.join(classes, "node", "left").select("h1", "h2", "least", F.coalesce("root", "node").alias("root"))
     first = classed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = classed.join(first, "root").select("h1", "h2", "component_id")
-    return rows.select("doc_id", "n_shingles", "h1", "h2").join(named, ["h1", "h2"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = materialise(classed.join(first, "root").select("h1", "h2", "component_id"), "named")
+    for t in (rows, equal, more, links):
+        release(t)
+    return keys.join(named, ["h1", "h2"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

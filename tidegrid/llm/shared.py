@@ -47,6 +47,12 @@ def remove(spark: SparkSession, uri: str) -> None:
     fs.delete(path, True)
 
 
+def settle(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of steps that are over: it does so when their plans are collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def materialise(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and return a DataFrame that reads it back."""
     spark = df.sparkSession
@@ -55,9 +61,7 @@ def materialise(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -
     if partition_by:
         write = write.partitionBy(*partition_by)
     write.parquet(uri)
-    # let Spark drop the shuffle files of steps that are over: it does so when their plans are collected
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    settle(spark)
     out = spark.read.schema(df.schema).parquet(uri)
     out._tidegrid_uri = uri  # for release()
     return out

@@ -13,6 +13,7 @@ import re
 from array import array
 
 import numpy as np
+import pyarrow.compute as pc
 import regex
 
 #: The code points with Unicode's White_Space property.
@@ -30,7 +31,7 @@ RUN = re.compile(r" (?:\s|\Z)")
 #: Marks that are a pre-token of their own behind a word.
 MARKS = frozenset(".,;:!?)")
 #: Units that a worker remembers per cache (about 200 bytes each), half of them from the generation before.
-CACHE_UNITS = 480_000
+CACHE_UNITS = 240_000
 
 
 def byte_symbols() -> dict[int, str]:
@@ -154,15 +155,12 @@ def encoder(path: str, keep_space: bool) -> UnitEncoder:
     return _encoders[path, keep_space]
 
 
-def text_slices(batch, text_at: int, most_chars: int = 1_000_000):
-    """(first row, texts) of an Arrow batch, in slices of bounded size; a null text is empty."""
-    texts = batch.column(text_at).to_pylist()
-    first, size = 0, 0
-    for i, t in enumerate(texts):
-        texts[i] = t = t or ""
-        size += len(t)
-        if size > most_chars:
-            yield first, texts[first : i + 1]
-            first, size = i + 1, 0
-    if first < len(texts):
-        yield first, texts[first:]
+def text_slices(batch, text_at: int, most_bytes: int = 1_000_000):
+    """(first row, texts) of an Arrow batch, in slices of bounded size (or one text); a null text is empty."""
+    column = batch.column(text_at)
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype("i8"))
+    first, done = 0, 0
+    while first < len(ends):
+        last = max(first + 1, int(np.searchsorted(ends, done + most_bytes, side="right")))
+        yield first, [t or "" for t in column.slice(first, last - first).to_pylist()]
+        first, done = last, int(ends[last - 1])
