@@ -61,7 +61,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     members = found.join(many, "component_id", "left_semi").join(key, "n")
     first = members.groupBy("component_id").agg(F.min_by("n", F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("n"))).alias("first"))
     gone = members.join(first, "component_id").where("n <> first").select(F.col("n").alias(row))
-    return _without(docs, row, gone)
+    out = _without(docs, row, gone)
+    release(found)
+    return out
 
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
