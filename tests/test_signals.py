@@ -120,13 +120,13 @@ def test_indexing_like_numpy(spark):
         store[0, 5]
 
 
-def test_chunks_for_interval():
+def test_chunk_span():
     bounds = chunking.bounds(6997, 1234)
     assert bounds == [0, 1234, 2468, 3702, 4936, 6170, 6997]
     # fixed values: sample intervals with both ends included, and their first and last chunk
     table = [(-1, 2, 0, 0), (0, 0, 0, 0), (0, 1, 0, 0), (1, 1, 0, 0), (2, 1, 0, 0), (2, -1, 0, 0), (2, 2, 0, 0), (1233, 1233, 0, 0), (1233, 1234, 0, 1), (1234, 1234, 1, 1), (1234, 1235, 1, 1), (-10000, 10000, 0, 5), (0, 10000, 0, 5), (1233, 10000, 0, 5), (1234, 10000, 1, 5), (6996, 10000, 5, 5), (6997, 10000, 5, 5), (6998, 10000, 5, 5)]
     for a, b, first, last in table:
-        assert chunking.chunks_for_interval(bounds, a, b) == (first, last), (a, b)
+        assert chunking.chunk_span(6997, 1234, a, b) == (first, last), (a, b)
     assert chunking.chunk_size(0.5, 5.0) == 2 and chunking.chunk_size(0.7, 5.0) == 4
     with pytest.raises(ValueError):
         chunking.chunk_size(0.01, 1.0)
@@ -171,8 +171,29 @@ def test_compressed_file(spark, tmp_path):
     spoiled = bytearray(data)
     spoiled[len(data) // 2] ^= 255
     (tmp_path / "x.cbin").write_bytes(spoiled)
+    broken = SignalStore.open_cbin(spark, str(tmp_path / "x.cbin"))
     with pytest.raises(IntegrityError):
-        SignalStore.open_cbin(spark, str(tmp_path / "x.cbin")).verify(arrays.load_raw(spark, path, "int16", 10))
+        broken.verify(arrays.load_raw(spark, path, "int16", 10))
+    with pytest.raises(IntegrityError):
+        broken.verify_file(path, arrays.raw_layout(path, "int16", 10))
+    with pytest.raises(IntegrityError):
+        broken.check_file_digest()
+    at = next(i for i in range(10) if header["chunk_offsets"][i + 1] > len(data) // 2)
+    assert [r[0] for r in broken.damaged().collect()] == [at]
+    # a header as a dict, settings of reading, names without a suffix
+    (tmp_path / "x.cbin").write_bytes(data)
+    own = SignalStore.open_cbin(spark, str(tmp_path / "x.cbin"), header, check_after_decompress=False)
+    assert not own.meta.config.check_after_decompress and (back(own[5:25], "int16") == x[5:25]).all()
+    with pytest.raises(ValueError, match="not settings of reading"):
+        decompress(spark, str(tmp_path / "x.cbin"), chunk_order="C")
+    (tmp_path / "d.d").mkdir()
+    x.tofile(tmp_path / "d.d" / "data")
+    got = compress(spark, str(tmp_path / "d.d" / "data"), sample_rate=100.0, n_channels=10, dtype="int16", check_after_compress=False)
+    assert got["out"] == str(tmp_path / "d.d" / "data.cbin") and got["sha1_uncompressed"] is None
+    x[77, 3] ^= 1
+    x.tofile(path)
+    with pytest.raises(IntegrityError, match="1 samples differ"):
+        own.verify_file(path, arrays.raw_layout(path, "int16", 10))
 
 
 def test_raw_and_npy_sources(spark, tmp_path):
@@ -189,6 +210,9 @@ def test_raw_and_npy_sources(spark, tmp_path):
     np.save(tmp_path / "cube.npy", cube)
     np.save(tmp_path / "f.npy", np.asfortranarray(x))
     np.save(tmp_path / "one.npy", x[0])
+    with open(tmp_path / "v3.npy", "wb") as f:
+        np.lib.format.write_array(f, x, version=(3, 0))
+    assert (back(arrays.load_npy(spark, str(tmp_path / "v3.npy")), "int16") == x).all()
     assert (back(arrays.load_npy(spark, str(tmp_path / "f.npy")), "int16") == x).all()
     store = SignalStore.from_npy(spark, str(tmp_path / "cube.npy"), 10.0, do_time_diff=False)
     assert store.meta.shape == (5, 6, 4) and (back(store.decode(), "int16") == cube.reshape(-1, 4)).all()
@@ -196,7 +220,7 @@ def test_raw_and_npy_sources(spark, tmp_path):
         arrays.load_npy(spark, str(tmp_path / "one.npy")).count()
 
 
-def test_long_chunks_and_bad_signals(spark):
+def test_long_chunks_and_bad_signals(spark, tmp_path):
     long = spark.range(25000).select(F.col("id").alias("t"), F.array((F.col("id") % 1000).cast("smallint")).alias("samples"))
     store = SignalStore.encode(long, "int16", 25000.0)
     assert store.meta.n_chunks == 1 and store.violations(long).count() == 0
@@ -204,8 +228,14 @@ def test_long_chunks_and_bad_signals(spark):
     assert one.shape == (1, 1) and one[0].count() == 1
     with pytest.raises(ValueError):
         SignalStore.encode(long.where("t < 0"), "int16", 10.0)
-    with pytest.raises(Exception, match="missing or repeated"):
-        SignalStore.encode(long.where("t <> 5"), "int16", 100.0).chunks.count()
+    # gaps within a chunk, at either end of one, and whole chunks
+    for gap in ("t <> 5", "t not between 20 and 24", "t not between 0 and 2", "t not between 95 and 99"):
+        with pytest.raises(Exception, match="missing or repeated"):
+            SignalStore.encode(long.where("t < 1000").where(gap), "int16", 100.0).chunks.count()
+    with pytest.raises(IntegrityError, match="has 9 chunks"):
+        SignalStore.encode(long.where("t < 1000 and t not between 200 and 299"), "int16", 100.0).save(f"file://{tmp_path}/gap")
+    with pytest.raises(IntegrityError, match="has 9 chunks"):
+        SignalStore.encode(long.where("t < 1000 and t not between 200 and 299"), "int16", 100.0).write_cbin(str(tmp_path / "gap.cbin"))
     with pytest.raises(ValueError):
         dtypes.sample_type("bool")
 
@@ -254,12 +284,12 @@ def test_stream(spark, tmp_path):
     for k, part in enumerate(frame(spark, x).randomSplit([1.0, 1.0, 1.0], seed=3)):
         part.coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
     schema = frame(spark, x).schema
-    chunks = encode_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*"), "int16", 3, 10)
+    chunks = encode_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*"), "int16", 3, 10, n_samples=95)
     q = chunks.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start(f"{tmp_path}/out")
     q.awaitTermination()
-    batch = SignalStore.encode(frame(spark, x), "int16", 10.0).chunks.where("chunk_idx < 9")
+    batch = SignalStore.encode(frame(spark, x), "int16", 10.0).chunks
     got = spark.read.parquet(f"{tmp_path}/out")
-    assert got.select("chunk_idx", "sha1", "sha1_raw").exceptAll(batch.select("chunk_idx", "sha1", "sha1_raw")).count() == 0 and got.count() == 9
+    assert got.select("chunk_idx", "sha1", "sha1_raw").exceptAll(batch.select("chunk_idx", "sha1", "sha1_raw")).count() == 0 and got.count() == 10
 
 
 def test_ordered_sink_refuses_existing(spark, tmp_path):

@@ -8,6 +8,7 @@ import sys
 
 from tidegrid.operators.store import SignalStore, compress, decompress
 from tidegrid.plans.config import CodecConfig
+from tidegrid.sources import files
 
 
 def parser() -> argparse.ArgumentParser:
@@ -75,12 +76,12 @@ def _run(args, spark) -> None:
         figures = compress(spark, args.path, args.out, args.outmeta, args.sample_rate, args.n_channels, args.dtype, overwrite=args.overwrite, chunk_duration=args.chunk, check_after_compress=check)
         print(f"{figures['out']}: {figures['bytes']} bytes, {100 * (1 - figures['ratio']):.1f} % saved")
     elif args.command == "decode":
-        decompress(spark, args.cdata, args.cmeta, args.out, write_output=True, overwrite=args.overwrite)
+        decompress(spark, args.cdata, args.cmeta, args.out, write_output=True, overwrite=args.overwrite, check_after_decompress=check)
     elif args.command == "describe":
         for k, v in SignalStore.open_cbin(spark, args.cdata, args.cmeta).describe().first().asDict().items():
             print(f"{k:<15} {v}")
     else:
-        out = args.out or args.cdata.rpartition(".")[0] + ".chopped.cbin"
+        out = args.out or files.with_suffix(args.cdata, ".chopped.cbin")
         kept = SignalStore.open_cbin(spark, args.cdata).chop(args.n_chunks)
         if kept is not None:
             kept.write_cbin(out)

@@ -71,6 +71,12 @@ def wide_spatial_diff(wide: DataFrame, kind: SampleType) -> DataFrame:
 
 def wide_spatial_cumsum(wide: DataFrame, kind: SampleType) -> DataFrame:
     """spatial_cumsum() of a wide signal; no window, no shuffle."""
-    wide_t = wide_type(kind).replace("38", "20")
-    total = lambda i: F.aggregate(F.slice("samples", F.lit(1), i + 1), F.lit(0).cast(wide_type(kind)), lambda a, x: (a + x.cast(wide_t)).cast(wide_type(kind)))
-    return wide.withColumn("samples", F.transform("samples", lambda x, i: wrap(total(i), kind)))
+    held = wide_type(kind)
+    none = F.struct(F.lit(0).cast(held).alias("total"), F.array().cast(f"array<{held}>").alias("all"))
+
+    def add(a, x):
+        total = (a["total"] + x.cast(held.replace("38", "20"))).cast(held)
+        return F.struct(total.alias("total"), F.array_append(a["all"], total).alias("all"))
+
+    sums = F.aggregate("samples", none, add, lambda a: a["all"])  # one addition per channel; copies are of plain arrays
+    return wide.withColumn("samples", F.transform(sums, lambda x: wrap(x, kind)))

@@ -80,8 +80,12 @@ def numpy_to_lists(rows: np.ndarray, kind: SampleType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * rows.shape[1], pa.int32()), values)
 
 
-def encode_frame(signal: DataFrame, dtype: str, n_channels: int, size: int, config: CodecConfig) -> DataFrame:
-    """Chunk table (CHUNK_SCHEMA) of a wide signal. One shuffle, on the chunk; chunks are of bounded size."""
+def encode_frame(signal: DataFrame, dtype: str, n_channels: int, n_samples: int, size: int, config: CodecConfig) -> DataFrame:
+    """Chunk table (CHUNK_SCHEMA) of a wide signal. One shuffle, on the chunk; chunks are of bounded size.
+
+    A chunk without all its samples, or with others, is refused; that no chunk is missing is checked where the
+    table is written, see SignalStore.save().
+    """
     kind = sample_type(dtype)
     order, level, td, sd = config.chunk_order, config.comp_level, config.do_time_diff, config.do_spatial_diff
 
@@ -91,8 +95,10 @@ def encode_frame(signal: DataFrame, dtype: str, n_channels: int, size: int, conf
         rows = lists_to_numpy(table.column("samples"), kind)
         if rows.shape[1] != n_channels:
             raise ValueError(f"samples have {rows.shape[1]} channels; {n_channels} are expected")
-        if t[-1] - t[0] + 1 != len(t) or (np.diff(t) != 1).any():
-            raise ValueError(f"samples between {t[0]} and {t[-1]} are missing or repeated")
+        first = table.column("chunk_idx")[0].as_py() * size
+        last = min(first + size, n_samples)
+        if len(t) != last - first or (t != np.arange(first, last)).any():
+            raise ValueError(f"samples from {first} to {last - 1} are missing or repeated, or others stand among them")
         payload = compress_chunk(rows, td, sd, order, level)
         return pa.table({"chunk_idx": table.column("chunk_idx").slice(0, 1), "t0": pa.array([t[0]], pa.int64()), "t1": pa.array([t[-1] + 1], pa.int64()), "byte_length": pa.array([len(payload)], pa.int64()), "sha1": [hashlib.sha1(payload).hexdigest()], "sha1_raw": [hashlib.sha1(rows.tobytes("C")).hexdigest()], "payload": pa.array([payload], pa.binary())})
 
@@ -144,6 +150,45 @@ def encode_file_frame(spark, read, n_samples: int, dtype: str, size: int, config
     return spark.range(0, n_chunks, 1, parts).mapInArrow(encode, CHUNK_SCHEMA)
 
 
+def damaged_frame(chunks: DataFrame, dtype: str, n_channels: int) -> DataFrame:
+    """chunk_idx of the chunks whose payload doesn't have its digest or, if none is stored, can't be inflated to its size."""
+    row = n_channels * np.dtype(dtype).itemsize
+
+    def sound(n_rows: int, stored: str | None, payload: bytes) -> bool:
+        if stored is not None:
+            return hashlib.sha1(payload).hexdigest() == stored
+        try:  # deflated data ends with a check sum of what it stands for
+            return len(zlib.decompress(payload)) == n_rows * row
+        except zlib.error:
+            return False
+
+    def test(batches):
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, t0, t1, stored, payload in rows if not sound(t1 - t0, stored, payload)], pa.int32())], names=["chunk_idx"])
+
+    return chunks.select("chunk_idx", "t0", "t1", "sha1", "payload").mapInArrow(test, "chunk_idx int")
+
+
+def differing_frame(chunks: DataFrame, dtype: str, n_channels: int, config: CodecConfig, read) -> DataFrame:
+    """(chunk_idx, n_bad) of the chunks with samples that differ from read(t0, t1), which executors call; no shuffle."""
+    order, td, sd = config.chunk_order, config.do_time_diff, config.do_spatial_diff
+
+    def test(batches):
+        for batch in batches:
+            out = []
+            for i, t0, t1, payload in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+                own, other = decompress_chunk(payload, t1 - t0, n_channels, dtype, td, sd, order), read(t0, t1)
+                same = np.isclose(own, other, rtol=1e-5, atol=1e-16) if own.dtype.kind == "f" else own == other
+                if bad := int((~same.all(axis=1)).sum()):
+                    out.append((i, bad))
+            if out:
+                i, bad = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(bad, pa.int64())], names=["chunk_idx", "n_bad"])
+
+    return chunks.select("chunk_idx", "t0", "t1", "payload").mapInArrow(test, "chunk_idx int, n_bad bigint")
+
+
 def decode_bytes_frame(chunks: DataFrame, dtype: str, n_channels: int, config: CodecConfig) -> DataFrame:
     """(chunk_idx, payload): each chunk's samples as the bytes of a flat file."""
     order, td, sd = config.chunk_order, config.do_time_diff, config.do_spatial_diff

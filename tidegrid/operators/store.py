@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegrid.functions.dtypes import close, sample_type
-from tidegrid.operators.codec import CHUNK_SCHEMA, IntegrityError, decode_bytes_frame, decode_frame, encode_file_frame, encode_frame
+from tidegrid.operators.codec import CHUNK_SCHEMA, IntegrityError, damaged_frame, decode_bytes_frame, decode_frame, differing_frame, encode_file_frame, encode_frame
 from tidegrid.plans import chunking
 from tidegrid.plans.chunking import Rows
 from tidegrid.plans.config import CodecConfig
@@ -100,7 +100,7 @@ class SignalStore:
         if kind.floating and config.do_time_diff:
             log.warning("differences of floating-point samples are not exact; turn do_time_diff off for an exact copy")
         size = chunking.chunk_size(config.chunk_duration, sample_rate)
-        chunks = encode_frame(signal, kind.name, n_channels, size, config)
+        chunks = encode_frame(signal, kind.name, n_channels, n_samples, size, config)
         return cls(chunks, SignalMeta(kind.name, n_channels, n_samples, float(sample_rate), size, config, tuple(shape) or (n_samples, n_channels)))
 
     @classmethod
@@ -131,12 +131,18 @@ class SignalStore:
         return cls._encode_file(spark, path, at, config)
 
     def save(self, folder: str, mode: str = "errorifexists") -> SignalStore:
-        """Write the chunk table as Parquet, in folders of BUCKET chunks, and return the stored one."""
+        """Write the chunk table as Parquet, in folders of BUCKET chunks, and return the stored one; all chunks must be there."""
         table = self.chunks.withColumn("bucket", F.floor(F.col("chunk_idx") / BUCKET).cast("int"))
         table.write.mode(mode).partitionBy("bucket").parquet(f"{folder}/chunks")
         meta = self.meta.header([]) | {"chunk_bounds": [], "n_samples": self.meta.n_samples, "chunk_size": self.meta.chunk_size}
         self.spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode(mode).text(f"{folder}/meta")
-        return self.open(self.spark, folder)
+        stored = self.open(self.spark, folder)
+        stored._complete(stored.chunks.count())
+        return stored
+
+    def _complete(self, n_chunks: int) -> None:
+        if n_chunks != self.meta.n_chunks:
+            raise IntegrityError(f"the signal has {n_chunks} chunks; {self.meta.n_samples} samples make {self.meta.n_chunks}")
 
     @classmethod
     def open(cls, spark: SparkSession, folder: str) -> SignalStore:
@@ -148,39 +154,43 @@ class SignalStore:
         return cls(spark.read.schema(CHUNK_SCHEMA + ", bucket int").parquet(f"{folder}/chunks"), meta)
 
     def write_cbin(self, out: str, outmeta: str | None = None, overwrite: bool = False) -> dict:
-        """Write one compressed file and its JSON header; returns ratio, bytes and both digests."""
+        """Write one compressed file and its JSON header; returns ratio, bytes and both digests.
+
+        The digest of the whole uncompressed signal is a fold over all samples in order, on the driver; it is taken
+        only if results are to be checked, else it is null. The file is put together on the driver from parts
+        that the tasks wrote; save() has no such step and is the way to keep large signals.
+        """
         outmeta = outmeta or arrays.default_header(out)
         if files.exists(outmeta) and not overwrite:
             raise FileExistsError(f"{outmeta} exists")
         chunks = self.chunks.persist()
         sha = sinks.write_ordered(chunks, "chunk_idx", "tidegrid_cbin_sink", overwrite, path=out)
         lengths = [r[0] for r in chunks.select("byte_length").orderBy("chunk_idx").collect()]  # a number per chunk, as the header holds
-        offsets = np.concatenate([[0], np.cumsum(lengths)]).tolist()
-        meta = SignalMeta(**{**self.meta.__dict__, "sha1_compressed": sha, "sha1_uncompressed": None if self.meta.chopped else self.sha1_uncompressed()})
+        self._complete(len(lengths))
+        offsets, checked = np.concatenate([[0], np.cumsum(lengths)]).tolist(), self.meta.config.check_after_compress
+        meta = SignalMeta(**{**self.meta.__dict__, "sha1_compressed": sha, "sha1_uncompressed": self.sha1_uncompressed() if checked and not self.meta.chopped else None})
         if self.meta.chopped:
             meta = SignalMeta(**{**meta.__dict__, "sha1_compressed": None})
         files.write_all(outmeta, json.dumps(meta.header(offsets), indent=2, sort_keys=True).encode())
         chunks.unpersist()
         raw = self.meta.n_samples * self.meta.n_channels * np.dtype(self.meta.dtype).itemsize
-        if self.meta.config.check_after_compress:
-            again = SignalStore.open_cbin(self.spark, out, outmeta)
-            if offsets[-1] != files.size(out) or again.decode().count() != self.meta.n_samples:
-                raise IntegrityError(f"{out} does not hold what was written")
+        if checked and (offsets[-1] != files.size(out) or not SignalStore.open_cbin(self.spark, out, outmeta).damaged().isEmpty()):
+            raise IntegrityError(f"{out} does not hold what was written")
         return {"ratio": offsets[-1] / raw, "bytes": offsets[-1], "sha1_compressed": sha, "sha1_uncompressed": meta.sha1_uncompressed}
 
     @classmethod
-    def open_cbin(cls, spark: SparkSession, cdata: str, cmeta: str | dict | None = None) -> SignalStore:
-        """A compressed file; the header is a path, a dict, or by default the sibling .ch file."""
-        arrays.register(spark)
-        if isinstance(cmeta, dict):
-            import tempfile
+    def open_cbin(cls, spark: SparkSession, cdata: str, cmeta: str | dict | None = None, **settings) -> SignalStore:
+        """A compressed file; the header is a path, a dict, or by default the sibling .ch file.
 
-            header = tempfile.mkstemp(suffix=".ch")[1]
-            files.write_all(header, json.dumps(cmeta).encode())
-        else:
-            header = cmeta or arrays.default_header(cdata)
-        meta = SignalMeta.from_header(json.loads(files.read_all(header)))
-        return cls(spark.read.format("tidegrid_cbin").options(path=cdata, header=header).load(), meta)
+        ``settings`` are those of reading: check_after_decompress and cached.
+        """
+        arrays.register(spark)
+        if unknown := settings.keys() - {"check_after_decompress", "cached"}:
+            raise ValueError(f"not settings of reading: {', '.join(sorted(unknown))}")
+        given = {"header_json": json.dumps(cmeta)} if isinstance(cmeta, dict) else {"header": cmeta or arrays.default_header(cdata)}
+        meta = SignalMeta.from_header(cmeta if isinstance(cmeta, dict) else json.loads(files.read_all(given["header"])))
+        config = CodecConfig.resolve(**{**settings, **{k: getattr(meta.config, k) for k in ("algorithm", "chunk_order", "comp_level", "do_time_diff", "do_spatial_diff", "chunk_duration")}})
+        return cls(spark.read.format("tidegrid_cbin").options(path=cdata, **given).load(), SignalMeta(**{**meta.__dict__, "config": config}))
 
     # reading
 
@@ -315,9 +325,23 @@ class SignalStore:
         if bad:
             raise IntegrityError(f"{bad} samples differ from the original")
 
+    def verify_file(self, path: str, at: arrays.Layout) -> None:
+        """Raise IntegrityError unless decoding gives the rows of a file; a task reads the rows of its own chunks, so nothing is shuffled."""
+        try:
+            bad = differing_frame(self.chunks, self.meta.dtype, self.meta.n_channels, self.meta.config, lambda a, b: arrays.read_rows(path, at, a, b)).agg(F.sum("n_bad")).first()[0]
+        except Exception as e:
+            raise IntegrityError(f"the compressed signal can't be read: {str(e)[:300]}") from e
+        if bad or at.n_rows != self.meta.n_samples:
+            raise IntegrityError(f"{bad or 'some'} samples differ from {path}")
+
     def damaged(self) -> DataFrame:
-        """chunk_idx of chunks whose payload does not match its digest; nothing is decoded."""
-        return self.chunks.where(F.sha1("payload") != F.col("sha1")).select("chunk_idx")
+        """chunk_idx of chunks whose payload does not match its digest or, where none is stored, can't be inflated."""
+        return damaged_frame(self.chunks, self.meta.dtype, self.meta.n_channels)
+
+    def check_file_digest(self) -> None:
+        """Raise IntegrityError if the header has a digest of the compressed file and the chunks don't have it."""
+        if self.meta.sha1_compressed not in (None, self.sha1_compressed()):
+            raise IntegrityError("the compressed file does not have the digest in its header")
 
     def sha1_uncompressed(self) -> str:
         """SHA-1 of the signal as one flat file: a fold over the chunks in order, one at a time."""
@@ -337,21 +361,23 @@ class SignalStore:
 
 def compress(spark: SparkSession, path: str, out: str | None = None, outmeta: str | None = None, sample_rate: float | None = None, n_channels: int | None = None, dtype: str | None = None, offset: int = 0, before_check=None, overwrite: bool = False, **settings) -> dict:
     """Encode a flat binary or NPY file to a compressed file and header; checks the result and returns its figures."""
-    npy = path.endswith(".npy")
+    npy = path.lower().endswith(".npy")
     store = SignalStore.from_npy(spark, path, sample_rate, **settings) if npy else SignalStore.from_raw(spark, path, sample_rate, n_channels, dtype, offset, **settings)
-    out = out or path.rpartition(".")[0] + (".cnpy" if npy else ".cbin")
+    out = out or files.with_suffix(path, ".cnpy" if npy else ".cbin")
     outmeta = outmeta or arrays.default_header(out)
     figures = store.write_cbin(out, outmeta, overwrite)
     if store.meta.config.check_after_compress:
         again = SignalStore.open_cbin(spark, out, outmeta)
-        original = arrays.load_npy(spark, path) if npy else arrays.load_raw(spark, path, store.meta.dtype if dtype is None else dtype, store.meta.n_channels, offset)
-        again.verify(original, before_check)
+        at = arrays.npy_layout(path) if npy else arrays.raw_layout(path, store.meta.dtype if dtype is None else dtype, store.meta.n_channels, offset)
+        if before_check is not None:
+            before_check(again)
+        again.verify_file(path, at)
     return figures | {"out": out, "outmeta": outmeta}
 
 
-def decompress(spark: SparkSession, cdata: str, cmeta=None, out: str | None = None, write_output: bool = False, overwrite: bool = False) -> SignalStore:
-    """Open a compressed file and, if asked or if ``out`` is given, write it as a flat file."""
-    store = SignalStore.open_cbin(spark, cdata, cmeta)
+def decompress(spark: SparkSession, cdata: str, cmeta=None, out: str | None = None, write_output: bool = False, overwrite: bool = False, **settings) -> SignalStore:
+    """Open a compressed file and, if asked or if ``out`` is given, write it as a flat file; see open_cbin() for settings."""
+    store = SignalStore.open_cbin(spark, cdata, cmeta, **settings)
     if write_output or out is not None:
-        store.tofile(out or cdata.rpartition(".")[0] + ".bin", overwrite)
+        store.tofile(out or files.with_suffix(cdata, ".bin"), overwrite)
     return store

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import operator
-from bisect import bisect_right
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,24 +28,10 @@ def bounds_frame(signal: DataFrame, size: int) -> DataFrame:
     return signal.groupBy(F.floor(F.col("t") / size).cast("int").alias("chunk_idx")).agg(F.min("t").alias("t0"), (F.max("t") + 1).alias("t1"), F.count("*").alias("n_rows"))
 
 
-def clip(x: int, low: int, high: int) -> int:
-    return max(low, min(high, x))
-
-
-def normalise(i, default: int, n: int) -> int:
-    """A slice bound as an index from 0 to n: None is the default, negative counts from the end."""
-    if i is None:
-        return default
-    i = operator.index(i)
-    return clip(i + n if i < 0 else i, 0, n)
-
-
-def chunks_for_interval(chunk_bounds: list[int], i0: int, i1: int) -> tuple[int, int]:
-    """First and last chunk of the samples from i0 to i1, both inclusive and clipped to the signal."""
-    last = chunk_bounds[-1] - 1
-    i0 = clip(i0, 0, last)
-    i1 = max(i0, clip(i1, 0, last))
-    return bisect_right(chunk_bounds, i0) - 1, bisect_right(chunk_bounds, i1) - 1
+def chunk_span(n_samples: int, size: int, i0: int, i1: int) -> tuple[int, int]:
+    """Numbers of the first and the last chunk of the samples i0 to i1, the last included; samples beyond the signal count as its nearest one."""
+    near = [min(max(i, 0), n_samples - 1) // size for i in (i0, max(i0, i1))]
+    return near[0], near[1]
 
 
 @dataclass(frozen=True)
@@ -78,7 +63,7 @@ def rows_of(item, n: int) -> Rows:
         step = 1 if item.step is None else operator.index(item.step)
         if step <= 0:
             raise ValueError("the step of a slice must be positive")
-        start, stop = normalise(item.start, 0, n), normalise(item.stop, n, n)
+        start, stop, _ = slice(item.start, item.stop).indices(n)
         return Rows(start, max(start, stop), step)
     if isinstance(item, (list, np.ndarray)):
         raise NotImplementedError("indexing by a list of samples: join with a DataFrame of them, see SignalStore.take()")

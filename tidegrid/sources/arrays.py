@@ -6,6 +6,7 @@ by byte range, a task for some rows; nothing is read on the driver but sizes and
 
 from __future__ import annotations
 
+import ast
 import io
 import json
 from dataclasses import dataclass
@@ -52,8 +53,12 @@ def npy_layout(path: str) -> Layout:
     """Layout of an NPY file; more than two dimensions are flattened to the last one."""
     head = io.BytesIO(files.read_range(path, 0, min(files.size(path), 1 << 16)))
     version = np.lib.format.read_magic(head)
-    read = np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0
-    shape, fortran, dtype = read(head)
+    if version > (2, 0):  # its header differs from 2.0 only in the encoding of field names, which samples don't have
+        n = int.from_bytes(head.read(4), "little")
+        own = ast.literal_eval(head.read(n).decode("utf-8"))
+        shape, fortran, dtype = own["shape"], own["fortran_order"], np.dtype(own["descr"])
+    else:
+        shape, fortran, dtype = (np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0)(head)
     if len(shape) < 2:
         raise ValueError("a signal has two dimensions, time and channel")
     n_rows = int(np.prod(shape[:-1]))
@@ -138,9 +143,8 @@ class Chunks(InputPartition):
 
 
 class CompressedReader(DataSourceReader):
-    def __init__(self, path: str, header: str):
-        self.path = path
-        self.meta = json.loads(files.read_all(header))
+    def __init__(self, path: str, header: str | bytes):
+        self.path, self.meta = path, json.loads(header)
         self.wanted = range(len(self.meta["chunk_bounds"]) - 1)
 
     def pushFilters(self, filters):
@@ -166,18 +170,16 @@ class CompressedReader(DataSourceReader):
         return [Chunks(tuple(x)) for x in out]
 
     def read(self, part):
-        import hashlib
-
         offsets, bounds = self.meta["chunk_offsets"], self.meta["chunk_bounds"]
         for i in part.ids:
             payload = files.read_range(self.path, offsets[i], offsets[i + 1] - offsets[i])
             if len(payload) != offsets[i + 1] - offsets[i]:
                 raise OSError(f"{self.path} ends within chunk {i}")
-            yield (i, bounds[i], bounds[i + 1], len(payload), hashlib.sha1(payload).hexdigest(), None, payload)
+            yield (i, bounds[i], bounds[i + 1], len(payload), None, None, payload)  # the format has no digests of chunks
 
 
 class CompressedSource(DataSource):
-    """Options path and header (by default the same name with the suffix .ch)."""
+    """Options path and header (by default the same name with the suffix .ch), or header_json in place of a file."""
 
     @classmethod
     def name(cls):
@@ -187,11 +189,12 @@ class CompressedSource(DataSource):
         return CHUNK_SCHEMA
 
     def reader(self, schema):
-        return CompressedReader(self.options["path"], self.options.get("header") or default_header(self.options["path"]))
+        header = self.options.get("header_json") or files.read_all(self.options.get("header") or default_header(self.options["path"]))
+        return CompressedReader(self.options["path"], header)
 
 
 def default_header(path: str) -> str:
-    return path.rpartition(".")[0] + ".ch"
+    return files.with_suffix(path, ".ch")
 
 
 def register(spark: SparkSession) -> None:

@@ -14,6 +14,13 @@ def locate(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.LocalFileSystem(), uri
 
 
+def with_suffix(uri: str, suffix: str) -> str:
+    """The path with another suffix, or with one if its last component has none."""
+    folder, slash, name = uri.rpartition("/")
+    stem, dot, _ = name.rpartition(".")
+    return folder + slash + (stem if dot and stem else name) + suffix
+
+
 def size(uri: str) -> int:
     system, path = locate(uri)
     info = system.get_file_info(path)

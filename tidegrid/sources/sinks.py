@@ -7,9 +7,12 @@ after another. That is done by copying them in buffers of fixed size, and the di
 from __future__ import annotations
 
 import hashlib
+import io
+import json
 import uuid
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
@@ -31,10 +34,10 @@ class Part(WriterCommitMessage):
 class OrderedWriter(DataSourceWriter):
     """Rows to bytes, by partition number."""
 
-    def __init__(self, path: str, to_bytes, overwrite: bool):
+    def __init__(self, path: str, to_bytes, overwrite: bool, prefix: bytes = b""):
         if files.exists(path) and not overwrite:
             raise FileExistsError(f"{path} exists")
-        self.path, self.to_bytes, self.run = path, to_bytes, uuid.uuid4().hex
+        self.path, self.to_bytes, self.run, self.prefix = path, to_bytes, uuid.uuid4().hex, prefix
 
     def write(self, rows):
         task = TaskContext.get()
@@ -54,6 +57,8 @@ class OrderedWriter(DataSourceWriter):
         whole = hashlib.sha1()
         parts = sorted((m for m in messages if m is not None), key=lambda m: m.number)
         with system.open_output_stream(path, compression=None) as out:
+            whole.update(self.prefix)
+            out.write(self.prefix)
             for m in parts:
                 source, own = files.locate(m.path)
                 with source.open_input_stream(own, compression=None) as f:
@@ -102,6 +107,19 @@ class RawSink(DataSource):
         return OrderedWriter(self.options["path"], _Samples(self.options["dtype"]), overwrite)
 
 
+class NpySink(DataSource):
+    """Writes (t, samples), in order of t, as an NPY file. Options path, dtype, shape (JSON)."""
+
+    @classmethod
+    def name(cls):
+        return "tidegrid_npy_sink"
+
+    def writer(self, schema, overwrite):
+        head = io.BytesIO()
+        np.lib.format.write_array_header_1_0(head, {"descr": np.dtype(self.options["dtype"]).str, "fortran_order": False, "shape": tuple(json.loads(self.options["shape"]))})
+        return OrderedWriter(self.options["path"], _Samples(self.options["dtype"]), overwrite, head.getvalue())
+
+
 class CompressedSink(DataSource):
     """Writes chunk rows, in order of chunk_idx, as one file. Option path."""
 
@@ -119,6 +137,7 @@ def write_ordered(df: DataFrame, by: str, form: str, overwrite: bool, **options)
     if files.exists(options["path"]) and not overwrite:
         raise FileExistsError(f"{options['path']} exists")
     spark.dataSource.register(RawSink)
+    spark.dataSource.register(NpySink)
     spark.dataSource.register(CompressedSink)
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ordered = df.repartitionByRange(n, by).sortWithinPartitions(by)

@@ -16,11 +16,12 @@ from tidegrid.operators.codec import CHUNK_SCHEMA, compress_chunk
 from tidegrid.plans.config import CodecConfig
 
 
-def encode_stream(samples: DataFrame, dtype: str, n_channels: int, size: int, config: CodecConfig | None = None) -> DataFrame:
+def encode_stream(samples: DataFrame, dtype: str, n_channels: int, size: int, config: CodecConfig | None = None, n_samples: int | None = None) -> DataFrame:
     """Chunk rows of a streaming (t, samples) DataFrame, each as soon as its last sample has come.
 
     State is one unfinished chunk per key, bounded by the chunk size; samples may come in any order within
-    a chunk and repeated ones count once. The chunk at the end of a signal is emitted only if it is full.
+    a chunk and repeated ones count once. The chunk at the end of a signal is full with what is left of
+    ``n_samples``; where that isn't known, an unfilled last chunk stays in the state.
     """
     config, kind = config or CodecConfig(), sample_type(dtype)
 
@@ -30,7 +31,7 @@ def encode_stream(samples: DataFrame, dtype: str, n_channels: int, size: int, co
             return
         for f in frames:
             held.update(zip(f["t"].tolist(), (list(x) for x in f["samples"]), strict=True))
-        if len(held) < size:
+        if len(held) < (size if n_samples is None else min(size, n_samples - key[0] * size)):
             state.update((pickle.dumps(held),))
             return
         state.update((pickle.dumps(None),))
