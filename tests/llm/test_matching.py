@@ -231,6 +231,8 @@ def brute_top(docs, queries, k):
 def test_search(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(search, "SHARD_DOCS", 50)
     monkeypatch.setattr(search, "BLOCK", 8)
+    monkeypatch.setattr(search, "FIRST", 2)
+    monkeypatch.setattr(search, "QUERY_TERMS", 500)
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     docs += [(None, docs[20][1]), (9001, None), (9002, ""), (9003, docs[0][1]), (9004, "word " * 30000)]
     queries = [(d, t) for d, t in docs if d is not None and d % 20 == 0][:6] + [(-1, "the of"), (-2, ""), (-3, None), (-4, "unheardof"), (None, "the")]
@@ -248,7 +250,7 @@ def test_pruning_skips_postings():
     docs = [Counter({rng.randrange(50): 1 for _ in range(20)}) for _ in range(2000)]
     for d in docs[640:660]:
         d.update({10**6: 5, 10**6 + 1: 5})
-    shard = search.Shard(docs, 20.0)
+    shard = search.Shard([(np.array(list(d), "u8"), np.array(list(d.values()), "f4")) for d in docs], 20.0)
     wanted, idf = np.array([10**6, 10**6 + 1, 3, 4], "u8"), np.array([5.0, 5.0, 0.1, 0.1])
     found, scores, scored = shard.search(wanted, idf, 5, 0.0)
     everything = sum(sum(t in d for t in wanted.tolist()) for d in docs)

@@ -134,3 +134,21 @@ def test_pipeline_stages(spark, sf_dir):
     packed = corpus_pipeline.best_fit_packing(spark, docs, sf_dir).collect()
     assert check_packing(packed, rows, 2048)
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
+
+
+def test_pipeline_decides_by_row(spark, sf_dir):
+    """Ids that repeat or are null, columns with names of the stages' own, and empty tables."""
+    import corpus_pipeline
+
+    a, b = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    item = next(r.text for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect() if len(r.text.split()) > 12)
+    rows = [(1, a, 0.123, "w"), (7, a, 0.456, "x"), (7, b, 0.5, "y"), (None, a, 0.6, "z"), (8, None, 0.7, "v"), (9, None, 0.8, "u"), (7, item, 0.9, "t"), (None, item, 1.0, "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality_score double, row string").repartition(3)
+    got = {r.row for r in corpus_pipeline.near_duplicates(spark, docs, sf_dir).collect()}
+    assert got == {"w", "y", "v", "u", "t"}
+    got = {r.row for r in corpus_pipeline.clean_of_benchmark(spark, docs, sf_dir).collect()}
+    assert got == {"w", "x", "y", "z", "v", "u"}
+    kept = corpus_pipeline.quality_filter(spark, docs, sf_dir)
+    assert kept.columns == docs.columns and set(map(tuple, kept.collect())) <= set(rows)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0, name
