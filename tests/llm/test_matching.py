@@ -170,7 +170,9 @@ def test_bounds_exclude_no_similar_pair():
                 may = set_join.may_be_similar(rows, i, sizes, limit)
                 assert all(may[j] for j in range(i) if set_join.similar(len(np.intersect1d(sets[i], sets[j])), sizes[i], sizes[j], t))
                 assert all(set_join.common(sets[i], sets[j]) == len(np.intersect1d(sets[i], sets[j])) for j in range(i))
-            assert near <= set(np.flatnonzero(set_join.suspects(marks, sizes, t, list(range(len(sets))))))
+            where = {k: c for c, cluster in enumerate(set_join.suspects(marks, sizes, t, list(range(len(sets))))) for k in cluster.tolist()}
+            assert near <= where.keys()
+            assert all(where[i] == where[j] for i in near for j in near if i != j and set_join.similar(len(np.intersect1d(sets[i], sets[j])), sizes[i], sizes[j], t))
 
 
 def test_hashes_equal_sparks(spark):

@@ -17,8 +17,8 @@ the shorter of the two allocations lies within the other. (A set with c < H + 1
 Verification is exact and comes before any closure. Each set is first compared with the least set of each of its
 entries (a star, so candidates grow with the entries). Where that joins all sets of an entry, nothing is left to
 do there. The sets of other entries are compared with each other in tiles of bounded size, unless they are of one
-class already: first by size and by sketches of parities, which bound the elements that differ, then what these
-bounds leave by elements. No pair is ever a row but one of a star.
+class already: first by size and by sketches of parities, which bound the elements that differ, then by elements within
+the clusters that these bounds leave. No pair is ever a row but one of a star.
 """
 
 from __future__ import annotations
@@ -179,18 +179,21 @@ def links_within(sets: list[np.ndarray], t: Fraction, labels: list[int] | None =
     return out
 
 
-def suspects(marks: list[bytes], sizes: np.ndarray, t: Fraction, labels: list[int], ours: np.ndarray | None = None) -> np.ndarray:
-    """True for each set that some set of another label may be similar to, as far as sketches tell."""
-    rows, limit, out = folded(marks), difference_limits(2 * int(sizes.max(initial=0)), t), np.zeros(len(marks), bool)
+def suspects(marks: list[bytes], sizes: np.ndarray, t: Fraction, labels: list[int], ours: np.ndarray | None = None) -> list[np.ndarray]:
+    """Clusters of two sets or more such that sets of different labels that may be similar, as far as sketches tell, are in one."""
+    rows, limit, cluster = folded(marks), difference_limits(2 * int(sizes.max(initial=0)), t), np.arange(len(marks))
     label = np.unique(labels, return_inverse=True)[1]
     for i in range(1, len(marks)):
         near = may_be_similar(rows, i, sizes, limit) & (label[:i] != label[i])
         if ours is not None:
             near &= ours[:i] != ours[i]
         if near.any():
-            out[i] = True
-            out[:i] |= near
-    return out
+            joined = np.unique(cluster[:i][near])
+            cluster[np.isin(cluster, joined)] = joined[0]
+            cluster[i] = joined[0]
+    order = np.argsort(cluster, kind="stable")
+    parts = np.split(order, np.flatnonzero(np.diff(cluster[order])) + 1)
+    return [p for p in parts if len(p) > 1]
 
 
 def _binaries(column: pa.Array) -> list[memoryview]:
@@ -404,9 +407,14 @@ def jaccard_components(df: DataFrame, threshold: str = "0.9", n: int = 3, id_col
     release(labelled)
 
     def suspect(batches):
+        # a cluster is named after its sets, so one that several entries or tiles give is compared once
         for key, (ours, node, label, size, marks) in _by_tile(batches, 2):
-            found = np.flatnonzero(suspects(marks, np.array(size), t, label, np.array(ours) if key[1] != key[2] else None))
-            yield pa.RecordBatch.from_arrays([pa.array([key[0]] * len(found), pa.int64()), *(pa.array([x[k] for k in found], pa.int64()) for x in (node, label, size))], names=["entry", "node", "label", "n_shingles"])
+            name, found = [], []
+            for cluster in suspects(marks, np.array(size), t, label, np.array(ours) if key[1] != key[2] else None):
+                own = hashlib.blake2b(np.sort(np.array(node)[cluster]).tobytes(), digest_size=8).digest()
+                name += [int.from_bytes(own, "little", signed=True)] * len(cluster)
+                found += cluster.tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(name, pa.int64()), *(pa.array([x[k] for k in found], pa.int64()) for x in (node, label, size))], names=["entry", "node", "label", "n_shingles"])
 
     def compare(batches):
         for key, (ours, node, label, _, marks, data) in _by_tile(batches, 3):
