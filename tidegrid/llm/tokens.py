@@ -70,17 +70,17 @@ _SEPARATORS = re.compile("[\x1c-\x1f]")  # str.split() drops these; they aren't
 
 
 class Remembered(dict):
-    """make(key) -> (value, whether to remember it), in two generations of half of CACHE_UNITS entries each."""
+    """make(key) -> (value, whether to remember it), in two generations of half of ``most`` (CACHE_UNITS) entries each."""
 
-    def __init__(self, make):
-        self.make, self.old = make, {}
+    def __init__(self, make, most: int | None = None):
+        self.make, self.old, self.half = make, {}, (most or CACHE_UNITS) // 2
 
     def __missing__(self, key):
         if (value := self.old.get(key)) is None:
             value, keep = self.make(key)
             if not keep:
                 return value
-        if len(self) >= CACHE_UNITS // 2:  # entries of the last generation stay within reach
+        if len(self) >= self.half:  # entries of the last generation stay within reach
             self.old = self.copy()
             self.clear()
         self[key] = value
