@@ -102,8 +102,9 @@ class UnitEncoder:
         self.fold = any(n["type"] == "Lowercase" for n in (spec["normalizer"] or {}).get("normalizers", []))
         self.pattern = WORD_PRE if self.fold else BYTE_PRE
         self.model = self.tokenizer.model
-        self.units = Remembered(self._unit)
-        self.spaced = Remembered(lambda word: self._unit(f" {word}"))  # by the word behind one space
+        most = 2 * CACHE_UNITS if keep_space else CACHE_UNITS  # the pipeline, whose stages share workers, uses the other kind
+        self.units = Remembered(self._unit, most)
+        self.spaced = Remembered(lambda word: self._unit(f" {word}"), most)  # by the word behind one space
 
     def _merged(self, unit: str) -> bytes:
         """Ids of one pre-token."""
