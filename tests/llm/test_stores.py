@@ -148,9 +148,15 @@ def test_warc_leftovers_of_other_attempts_go(spark):
     folder = new_dir(spark, "warc")
     with open(folder.removeprefix("file://") + "/part-000000-99-dead-0000.warc.zst", "wb") as f:
         f.write(zstandard.ZstdCompressor().compress(warc.page_record(77, "u", b"x", None, "urn:x")))
-    warc.write_archives(pages(spark), folder)
+    manifest = warc.write_archives(pages(spark), folder)
     assert warc.read_archives(spark, folder, False).where("page_id = 77").count() == 0
     assert shared_root(spark)
+    with open(folder.removeprefix("file://") + "/part-000000-98-late-0000.warc.zst", "wb") as f:
+        f.write(zstandard.ZstdCompressor().compress(warc.page_record(77, "u", b"x", None, "urn:x")))
+    got = warc.read_archives(spark, folder, False, manifest)
+    assert got.count() == len(PAGES) and got.where("page_id = 77").count() == 0
+    with pytest.raises(Exception, match="the manifest says"):
+        warc.read_archives(spark, folder, False, manifest.withColumn("records", manifest.records + 1)).collect()
 
 
 def test_warc_empty(spark):

@@ -2,8 +2,9 @@
 
 An archive is a skippable frame that holds the dictionary, then one frame per record. Archives are written
 by the tasks under names of their own attempt; the names that the successful attempts return are the
-manifest, and what other attempts left is removed before anything is read, so a lost executor or a repeated
-task neither loses nor doubles a record. They are read with Spark's binaryFile source.
+manifest. What was written is read by it, file by file: a file that it doesn't name, even one that a slower attempt
+of a task finishes later, is not read, so a lost executor or a repeated task neither loses nor doubles a record.
+Folders of archives from elsewhere, which have no manifest, are read with Spark's binaryFile source.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Revisits up to this number are joined by broadcast (some 40 bytes each), more by shuffle.
 BROADCAST_ROWS = 100_000
 FEED = 1 << 18
+#: Archives that one task reads, where there are more than a few for each core.
+READ_ARCHIVES = 8
 
 
 class WarcError(ValueError):
@@ -214,11 +217,12 @@ def write_archives(pages: DataFrame, folder: str, min_revisit_bytes: int = 0, ar
     return manifest
 
 
-def read_archives(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
+def read_archives(spark: SparkSession, folder: str, payloads: bool = True, manifest: DataFrame | None = None) -> DataFrame:
     """page_id, url, payload_bytes, payload_digest, record_type, refers_to (and payload) of each page record.
 
     Each archive is decoded frame by frame, one record to a frame. A malformed frame, header or length, or
-    a payload that does not match its digest, fails with WarcError.
+    a payload that does not match its digest, fails with WarcError. With ``manifest`` (of write_archives()) the
+    files that it names are read, and no others; one that is missing, or has another number of records, fails.
     """
     fields = [T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("payload_bytes", T.LongType()), T.StructField("payload_digest", T.StringType()), T.StructField("record_type", T.StringType()), T.StructField("refers_to", T.LongType())]
     arrow = [("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())]
@@ -227,29 +231,46 @@ def read_archives(spark: SparkSession, folder: str, payloads: bool = True) -> Da
         arrow.append(("payload", pa.binary()))
     arrow = pa.schema(arrow)
 
+    def pages_of(archive: bytes, expected: int | None = None):
+        rows, size, n = [], 0, 0
+        for data in frames(archive):
+            if (page := page_of(parse_record(data))) is not None:
+                if not payloads:
+                    page.pop("payload")
+                rows.append(page)
+                n, size = n + 1, size + len(data)
+            if size > 8 << 20:
+                yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+                rows, size = [], 0
+        if expected is not None and n != expected:
+            raise WarcError(f"the manifest says {expected} records; the archive has {n}")
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+
     def parse(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                rows, size = [], 0
-                for data in frames(batch.column(0)[i].as_py()):
-                    if (page := page_of(parse_record(data))) is not None:
-                        if not payloads:
-                            page.pop("payload")
-                        rows.append(page)
-                        size += len(data)
-                    if size > 8 << 20:
-                        yield pa.RecordBatch.from_pylist(rows, schema=arrow)
-                        rows, size = [], 0
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema=arrow)
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select("content")
-    return files.mapInArrow(parse, T.StructType(fields))
+                yield from pages_of(batch.column(0)[i].as_py())
+
+    def parse_named(batches):
+        system, base = _target(folder)
+        for batch in batches:
+            for name, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with system.open_input_stream(f"{base}/{name}", compression=None) as f:
+                    archive = f.read()
+                yield from pages_of(archive, n)
+
+    if manifest is None:
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select("content")
+        return files.mapInArrow(parse, T.StructType(fields))
+    n = manifest.count()
+    tasks = max(-(-n // READ_ARCHIVES), min(n, 2 * spark.sparkContext.defaultParallelism), 1)
+    return manifest.select("name", "records").repartition(tasks).mapInArrow(parse_named, T.StructType(fields))
 
 
 def archive_and_read(pages: DataFrame, min_revisit_bytes: int = 0, payloads: bool = False) -> DataFrame:
     """Write ``pages`` to archives in the shared folder and return what read_archives() finds in them."""
     spark = pages.sparkSession
     folder = new_dir(spark, "warc")
-    write_archives(pages, folder, min_revisit_bytes, dictionary=train_dictionary(pages))
-    return read_archives(spark, folder, payloads)
+    manifest = write_archives(pages, folder, min_revisit_bytes, dictionary=train_dictionary(pages))
+    return read_archives(spark, folder, payloads, manifest)
