@@ -156,6 +156,25 @@ def test_entries_meet_for_all_similar_sets():
                     assert len(np.intersect1d(set_join.entries(a, bands), set_join.entries(b, bands))), (t, len(a), len(b), both)
 
 
+def test_shared_entries(spark, monkeypatch):
+    monkeypatch.setattr(set_join, "PACKED", 500)  # many runs
+    rng, bands, parts = random.Random(21), set_join.Bands(Fraction("0.8")), 300
+    sets, base = [], [rng.getrandbits(64) for _ in range(60)]
+    for _ in range(80):
+        sets.append(sorted({*rng.sample(base, 55), *(rng.getrandbits(64) for _ in range(rng.randrange(4)))}))
+    sets += [[rng.getrandbits(64) for _ in range(rng.randrange(1, 90))] for _ in range(80)]
+    sets = [np.unique(np.array(s, "u8")) for s in sets]
+    own = [set_join.entries(s, bands) for s in sets]
+    times = Counter(np.concatenate(own).tolist())
+    several = np.array([e for e, k in times.items() if k > 1], "u8")
+    df = spark.createDataFrame([(bytearray(s.tobytes()),) for s in sets], "elements binary").repartition(3)
+    got = [r.entry for r in set_join._shared_entries(df, bands, parts).collect()]
+    assert max(times.values()) > 20 and len(set(got)) == len(got)
+    assert set(got) == set(set_join.packed(several, parts).view("i8").tolist())
+    assert set_join._shared_entries(df.limit(0), bands, parts).count() == 0
+    assert set_join.repeated(np.array([3, 1, 3, 3, 2, 2], "u8"), 2).tolist() == [1, 2, 2, 3, 3]
+
+
 def test_bounds_exclude_no_similar_pair():
     rng = np.random.default_rng(9)
     for t in (Fraction("0.9"), Fraction("0.8")):

@@ -48,6 +48,8 @@ TILE_BYTES = 4 << 20
 STAR = 512
 #: Digests of sets that a task remembers, so that it stores equal ones once.
 MET = 100_000
+#: Entries that a task sorts at once before they are counted, and about as many that a part of them holds.
+PACKED = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -236,16 +238,76 @@ def _sets_of(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def _entries_of(sets: DataFrame, bands: Bands, wanted: Broadcast | None = None) -> DataFrame:
-    """(entry, node) of stored sets; with ``wanted`` only entries that this bit table may hold."""
+def packed(found: np.ndarray, parts: int) -> np.ndarray:
+    """Entries as a part in the upper half and 32 bits in the lower: equal entries stay equal, few others become so."""
+    return ((found >> U(32)) * U(parts)) & U(0xFFFFFFFF << 32) | found & U(0xFFFFFFFF)
+
+
+def repeated(found: np.ndarray, most: int) -> np.ndarray:
+    """The values, sorted, each ``most`` times at most."""
+    found = np.sort(found)
+    if len(found) <= most:
+        return found
+    return np.concatenate([found[:most], found[most:][found[most:] != found[:-most]]])
+
+
+def _shared_entries(sets: DataFrame, bands: Bands, parts: int) -> DataFrame:
+    """``packed`` entries that two stored sets or more may have, as bigint.
+
+    What is shuffled are 32 bits per entry, in sorted runs by part. An entry comes twice at most from each run, so
+    one that very many sets have doesn't fill a part.
+    """
+
+    def pack(found):
+        found = repeated(packed(np.concatenate(found), parts), 2)
+        part = (found >> U(32)).astype("i8")
+        cuts = np.flatnonzero(np.diff(part, prepend=-1))
+        low = memoryview(found.astype("u4").tobytes())
+        ends = [*cuts[1:].tolist(), len(found)]
+        return pa.RecordBatch.from_arrays([pa.array(part[cuts]), pa.array([low[4 * a : 4 * b] for a, b in zip(cuts.tolist(), ends, strict=True)], pa.binary())], names=["part", "run"])
+
+    def runs(batches):
+        found, size = [], 0
+        for batch in batches:
+            for data in _binaries(batch.column(0)):
+                found.append(entries(np.frombuffer(data, "u8"), bands))
+                size += len(found[-1])
+                if size > PACKED:
+                    yield pack(found)
+                    found, size = [], 0
+        if size:
+            yield pack(found)
+
+    def count(batches):
+        key, held = None, []
+        for batch in batches:
+            for part, run in zip(batch.column(0).to_pylist(), _binaries(batch.column(1)), strict=True):
+                if part != key and held:
+                    yield several(key, held)
+                    held = []
+                key = part
+                held.append(np.array(np.frombuffer(run, "u4")))
+        if held:
+            yield several(key, held)
+
+    def several(part, held):
+        low = np.sort(np.concatenate(held))
+        low = np.unique(low[1:][low[1:] == low[:-1]])
+        return pa.RecordBatch.from_arrays([pa.array((low.astype("u8") | U(part << 32)).view("i8"))], names=["entry"])
+
+    dealt = sets.select("elements").mapInArrow(runs, "part bigint, run binary").repartition("part").sortWithinPartitions("part")
+    return dealt.mapInArrow(count, "entry bigint")
+
+
+def _entries_of(sets: DataFrame, bands: Bands, wanted: Broadcast, parts: int) -> DataFrame:
+    """(entry, node) of stored sets, only those whose ``packed`` entries the bit table ``wanted`` may hold."""
 
     def run(batches):
         found, node, size = [], [], 0
         for batch in batches:
             for uid, data in zip(batch.column(0).to_pylist(), _binaries(batch.column(1)), strict=True):
-                own = entries(np.frombuffer(data, "u8"), bands).view("i8")
-                if wanted is not None:
-                    own = own[hits(wanted.value, own)]
+                own = entries(np.frombuffer(data, "u8"), bands)
+                own = own[hits(wanted.value, packed(own, parts).view("i8"))].view("i8")
                 found.append(own)
                 node.append(np.full(len(own), uid))
                 size += len(own)
@@ -381,10 +443,11 @@ def jaccard_components(df: DataFrame, threshold: str = "0.9", n: int = 3, id_col
     equal = materialise(equal, "equal")
     twins = materialise(rows.where("first").select("uid", "h1", "h2").join(equal, ["h1", "h2"]).where("uid <> node").select(F.col("uid").alias("twin"), F.col("node").alias("one")), "twins")
 
-    # entries that several sets have: a set has each of its entries once, so their number tells, and numbers combine before the shuffle
-    held = spark.sparkContext.broadcast(bit_table(_entries_of(sets, bands).groupBy("entry").agg(F.count("*").alias("times")).where("times > 1"), "entry"))
+    # entries that several sets have: a set has each of its entries once, so those that come twice tell
+    parts = max(256, (sets.agg(F.sum("n_shingles")).first()[0] or 0) // PACKED)
+    held = spark.sparkContext.broadcast(bit_table(_shared_entries(sets, bands, parts), "entry"))
     settle(spark)
-    met = _entries_of(sets, bands, held).join(twins, F.col("node") == F.col("twin"), "left").select("entry", F.coalesce("one", "node").alias("node")).distinct()
+    met = _entries_of(sets, bands, held, parts).join(twins, F.col("node") == F.col("twin"), "left").select("entry", F.coalesce("one", "node").alias("node")).distinct()
     met = materialise(met, "met")
     held.unpersist()
     release(twins)
