@@ -452,22 +452,27 @@ def jaccard_components(df: DataFrame, threshold: str = "0.9", n: int = 3, id_col
     held.unpersist()
     release(twins)
 
-    # each set against the least of its entry
-    least = met.groupBy("entry").agg(F.min("node").alias("b"))
-    stars = materialise(met.join(least, "entry").where("node <> b").select(F.col("node").alias("a"), "b").distinct(), "stars")
+    # each set against the least of its entry; entries of one set alone, which a filled bit table lets pass, end here
+    least = met.groupBy("entry").agg(F.min("node").alias("b"), F.max("node").alias("high")).where("b < high").select("entry", "b")
+    shared = materialise(met.join(least, "entry"), "shared")
+    release(met)
+    stars = materialise(shared.where("node <> b").select(F.col("node").alias("a"), "b").distinct(), "stars")
     links = verified_stars(stars, sets, t)
     release(stars)
     classes = components(links)
 
     # entries that this left with several classes; of entries with the same sets one is enough
     labels = classes.withColumnsRenamed({"node": "v", "root": "label"})
-    labelled = met.join(labels, F.col("node") == F.col("v"), "left").select("entry", "node", F.coalesce("label", "node").alias("label"))
+    labelled = shared.join(labels, F.col("node") == F.col("v"), "left").select("entry", "node", F.coalesce("label", "node").alias("label"))
     labelled = materialise(labelled, "labelled")
-    release(met)
-    mark = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")]
-    several = labelled.groupBy("entry").agg(F.min("label").alias("low"), F.max("label").alias("high"), *mark).where("low < high").groupBy("n", "x", "y").agg(F.min("entry").alias("entry")).select("entry")
-    left = materialise(labelled.join(several, "entry").join(sets.select("node", "n_shingles"), "node").select("entry", "node", "label", "n_shingles"), "left")
+    release(shared)
+    several = labelled.groupBy("entry").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("entry")
+    open_ = materialise(labelled.join(several, "entry"), "open")
     release(labelled)
+    mark = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")]
+    one = open_.groupBy("entry").agg(*mark).groupBy("n", "x", "y").agg(F.min("entry").alias("entry")).select("entry")
+    left = materialise(open_.join(one, "entry").join(sets.select("node", "n_shingles"), "node").select("entry", "node", "label", "n_shingles"), "left")
+    release(open_)
 
     def suspect(batches):
         # a cluster is named after its sets, so one that several entries or tiles give is compared once
