@@ -8,6 +8,7 @@ from collections import Counter
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidegrid.llm import components, decontaminate, licenses, search, set_join
@@ -278,6 +279,39 @@ def test_pruning_skips_postings():
     assert scored < everything / 4 and set(found[np.argsort(-scores)[:5]]) <= set(range(640, 660))
 
 
+def test_search_many_against_all_scores():
+    rng = random.Random(8)
+    docs = [Counter(min(int(rng.paretovariate(0.6)), 3000) for _ in range(rng.randrange(1, 60))) for _ in range(700)]
+    shard = search.Shard([(np.array(list(d), "u8"), np.array(list(d.values()), "f4")) for d in docs], 30.0)
+    idf = {t: math.log(1 + 700 / sum(t in d for d in docs)) for t in {t for d in docs for t in d}}
+    part = lambda d, t: d[t] * 2.2 / (d[t] + 1.2 * (0.25 + 0.75 * sum(d.values()) / 30.0))
+    asked = [(np.array(list(d), "u8"), np.array([idf[t] for t in d])) for d in docs[::20]]
+    for common in (np.zeros(0, "u8"), np.array(range(1, 9), "u8"), np.array(sorted(idf), "u8")):
+        split = [search._split(t, w, common) for t, w in asked]
+        terms = np.unique(np.concatenate([x[2] for x in split]))
+        many = [(c, w, np.searchsorted(terms, t), i) for c, w, t, i in split]
+        floors = np.zeros(len(many))
+        for _ in range(2):  # without floors, then with the tightest
+            found = list(shard.search_many(many, shard.places(terms), 5, floors, search.Dense(shard, common)))
+            for (ids, scores, _), (t, w) in zip(found, asked, strict=True):
+                want = np.array([sum(i * part(d, x) for x, i in zip(t.tolist(), w.tolist(), strict=True) if x in d) for d in docs])
+                assert np.allclose(want[ids], scores, rtol=0, atol=1e-9)
+                assert set(np.flatnonzero(want >= np.sort(want)[-5])) <= set(ids.tolist())
+            floors = np.array([np.sort(scores)[-5] for _, scores, _ in found])
+
+
+def test_shards_reach_a_worker_one_by_one(spark):
+    name, before = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    with search._one_by_one(spark):
+        rows = spark.range(40).coalesce(2).mapInArrow(sizes, "n bigint").collect()
+    assert [r.n for r in rows] == [1] * 40 and spark.conf.get(name) == before
+
+
 # licenses
 
 
