@@ -229,6 +229,34 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_chunks_do_not_repeat_sets(spark, monkeypatch):
+    rng, rows = random.Random(4), {}
+    common = [f"w{i}" for i in range(40)]
+    docs = []
+    for d in range(160):  # alike, but few of them similar
+        own = list(common)
+        for at in rng.sample(range(40), 5):
+            own[at] = f"x{rng.randrange(10**6)}"
+        docs.append((d, " ".join(own if d % 40 else common)))
+    before = set_join.materialise
+
+    def counted(df, label, *rest):
+        out = before(df, label, *rest)
+        rows.setdefault(label, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(set_join, "materialise", counted)
+    monkeypatch.setattr(set_join, "TILE_BYTES", 32 * 3000)
+    got = {r.doc_id: r.component_id for r in set_join.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string"), threshold="0.7", n=1).collect()}
+    sets, want = [set(t.split()) for _, t in docs], list(range(160))
+    for i in range(160):
+        for j in range(i):
+            if 10 * len(sets[i] & sets[j]) >= 7 * len(sets[i] | sets[j]) and want[i] != want[j]:
+                want = [min(want[i], want[j]) if x in (want[i], want[j]) else x for x in want]
+    assert got == dict(enumerate(want))
+    assert rows.get("left") and rows["dealt"][0] == rows["left"][0]
+
+
 # search
 
 

@@ -14,8 +14,8 @@ all cheap segments of x differ, at least c of them, with D <= H differences in a
 more than one element, and among any H + 1 - c of them one differs in exactly one. The same holds for y, and
 the shorter of the two allocations lies within the other. (A set with c < H + 1 - c indexes all of it.)
 
-Verification is exact and comes before any closure. Each set is first compared with the least set of each of its
-entries (a star, so candidates grow with the entries). Where that joins all sets of an entry, nothing is left to
+Verification is exact and comes before any closure. Each set is first compared with one set of each of its entries,
+that which shares most of its own (a star, so candidates grow with the entries). Where that joins all sets of an entry, nothing is left to
 do there. The sets of other entries are compared with each other in tiles of bounded size, unless they are of one
 class already: first by size and by sketches of parities, which bound the elements that differ, then by elements within
 the clusters that these bounds leave. No pair is ever a row but one of a star.
@@ -24,6 +24,7 @@ the clusters that these bounds leave. No pair is ever a row but one of a star.
 from __future__ import annotations
 
 import hashlib
+import pickle
 import struct
 from fractions import Fraction
 
@@ -32,13 +33,13 @@ import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 from pyspark.core.broadcast import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidegrid.llm import tokens
 from tidegrid.llm.components import components
-from tidegrid.llm.shared import bit_table, hits, materialise, release, settle
+from tidegrid.llm.shared import bit_table, hits, materialise, one_by_one, release, settle
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 U = np.uint64
@@ -50,6 +51,10 @@ STAR = 512
 MET = 100_000
 #: Entries that a task sorts at once before they are counted, and about as many that a part of them holds.
 PACKED = 1 << 20
+#: Bits of the filter of entries: 16 MB whatever the corpus; a filled one lets more pass.
+ENTRY_BITS = 1 << 27
+#: The bits of a rank that are the number of its set; above them is the share of the set's entries that no other has.
+NODE = (1 << 56) - 1
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -300,24 +305,28 @@ def _shared_entries(sets: DataFrame, bands: Bands, parts: int) -> DataFrame:
 
 
 def _entries_of(sets: DataFrame, bands: Bands, wanted: Broadcast, parts: int) -> DataFrame:
-    """(entry, node) of stored sets, only those whose ``packed`` entries the bit table ``wanted`` may hold."""
+    """(entry, rank) of stored sets, only those whose ``packed`` entries the bit table ``wanted`` may hold.
+
+    The rank is the set's number below a number that is less the more of the set's entries others seem to have.
+    """
 
     def run(batches):
-        found, node, size = [], [], 0
+        found, rank, size = [], [], 0
         for batch in batches:
             for uid, data in zip(batch.column(0).to_pylist(), _binaries(batch.column(1)), strict=True):
                 own = entries(np.frombuffer(data, "u8"), bands)
+                most = len(own)
                 own = own[hits(wanted.value, packed(own, parts).view("i8"))].view("i8")
                 found.append(own)
-                node.append(np.full(len(own), uid))
+                rank.append(np.full(len(own), 127 * (most - len(own)) // max(most, 1) << 56 | uid))
                 size += len(own)
                 if size > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.concatenate(node))], names=["entry", "node"])
-                    found, node, size = [], [], 0
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.concatenate(rank))], names=["entry", "rank"])
+                    found, rank, size = [], [], 0
         if size:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.concatenate(node))], names=["entry", "node"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.concatenate(rank))], names=["entry", "rank"])
 
-    return sets.select("node", "elements").mapInArrow(run, "entry bigint, node bigint")
+    return sets.select("node", "elements").mapInArrow(run, "entry bigint, rank bigint")
 
 
 def _fetched(nodes: DataFrame, sets: DataFrame, columns: tuple[str, ...]) -> DataFrame:
@@ -384,21 +393,52 @@ def verified_stars(stars: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
     return links
 
 
-def _tiled(rows: DataFrame, sets: DataFrame, columns: tuple[str, ...], bytes_each: float, most: int) -> DataFrame:
-    """Rows (entry, node, label, n_shingles) dealt over tiles (i, j) of two chunks of ``most`` bytes, with columns of their sets.
+def _in_tiles(rows: DataFrame, sets: DataFrame, columns: tuple[str, ...], bytes_each: float, most: int, work, schema: str) -> DataFrame:
+    """work(ours, columns) of the sets of each entry of ``rows`` (entry, node, label, n_shingles), in chunks of ``most`` bytes.
 
-    A set takes some ``bytes_each`` per shingle. A tile with i = j compares one chunk with itself, others one
-    chunk with another. Rows are dealt before anything is fetched for them.
+    A set takes some ``bytes_each`` per shingle. ``work`` gets lists of node, label, n_shingles and ``columns``. An
+    entry of one chunk is one call without ``ours``. Of other entries each chunk is packed as one row, and a tile of
+    one or two of these is a call; ``ours`` tells the sets of two chunks apart. So no row of a set is repeated.
     """
     chunks = rows.groupBy("entry").agg(F.ceil(F.sum(F.col("n_shingles") * bytes_each + 256) / most).cast("int").alias("chunks"))
     own = rows.join(chunks, "entry").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other"))
-    own = materialise(own.select("entry", "i", "j", (F.col("chunk") == F.col("i")).alias("ours"), "node", "label", "n_shingles"), "dealt")
-    return _fetched(own, sets, columns).select("entry", "i", "j", "ours", "node", "label", "n_shingles", *columns).repartition("entry", "i", "j").sortWithinPartitions("entry", "i", "j")
+    own = materialise(own.select("entry", "chunk", "chunks", "node", "label", "n_shingles"), "dealt")
+
+    def dealt(part):
+        fetched = _fetched(part, sets, columns).select("entry", "chunk", "chunks", "node", "label", "n_shingles", *columns)
+        return fetched.repartition("entry", "chunk").sortWithinPartitions("entry", "chunk")
+
+    def whole(batches):
+        for _, held in _by_chunk(batches, len(columns)):
+            yield work(None, held)
+
+    def pack(batches):
+        for (entry, chunk, n), held in _by_chunk(batches, len(columns)):
+            yield pa.RecordBatch.from_arrays([pa.array([entry]), pa.array([chunk], pa.int32()), pa.array([n], pa.int32()), pa.array([pickle.dumps(held)], pa.binary())], names=["entry", "chunk", "chunks", "sets"])
 
+    def tiles(batches):
+        key, held = None, []
+        for batch in batches:
+            for *where, chunk, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if where != key:
+                    key, held = where, []
+                held.append((chunk, pickle.loads(data)))
+                if len(held) == (1 if where[1] == where[2] else 2):
+                    ours = None if len(held) == 1 else np.repeat([c == where[1] for c, _ in held], [len(x[0]) for _, x in held])
+                    yield work(ours, [[v for part in x for v in part] for x in zip(*(x for _, x in held), strict=True)])
+
+    out = dealt(own.where("chunks = 1")).mapInArrow(whole, schema)
+    many = own.where("chunks > 1")
+    if not many.isEmpty():
+        packs = materialise(dealt(many).mapInArrow(pack, "entry bigint, chunk int, chunks int, sets binary"), "packs")
+        pairs = packs.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("entry", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "sets")
+        with one_by_one(rows.sparkSession):
+            out = out.unionByName(materialise(pairs.repartition("entry", "i", "j").sortWithinPartitions("entry", "i", "j").mapInArrow(tiles, schema), "tiles"))
+    return out
 
-def _by_tile(batches, columns: int):
-    """(key, rows) of each tile of a partition, rows as lists by column: ours, node, label and what follows."""
+
+def _by_chunk(batches, columns: int):
+    """(key, rows) of each chunk of a partition, rows as lists by column: node, label, n_shingles and what follows."""
     key, held = None, None
     for batch in batches:
         keys = list(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True))
@@ -445,17 +485,17 @@ def jaccard_components(df: DataFrame, threshold: str = "0.9", n: int = 3, id_col
 
     # entries that several sets have: a set has each of its entries once, so those that come twice tell
     parts = max(256, (sets.agg(F.sum("n_shingles")).first()[0] or 0) // PACKED)
-    held = spark.sparkContext.broadcast(bit_table(_shared_entries(sets, bands, parts), "entry"))
+    held = spark.sparkContext.broadcast(bit_table(_shared_entries(sets, bands, parts), "entry", ENTRY_BITS))
     settle(spark)
-    met = _entries_of(sets, bands, held, parts).join(twins, F.col("node") == F.col("twin"), "left").select("entry", F.coalesce("one", "node").alias("node")).distinct()
-    met = materialise(met, "met")
+    # each set against one of its entry, that which shares most of its entries: copies of a text are like the text, if
+    # not like each other. Entries of one set alone, which a filled bit table lets pass, end here; rows are dealt once
+    met = _entries_of(sets, bands, held, parts).join(twins, F.col("rank").bitwiseAND(NODE) == F.col("twin"), "left")
+    met = met.select("entry", F.coalesce(F.col("rank") - F.col("twin") + F.col("one"), "rank").alias("rank")).repartition("entry").distinct()
+    entry = Window.partitionBy("entry")
+    met = met.withColumn("least", F.min("rank").over(entry)).withColumn("high", F.max("rank").over(entry)).where("least < high")
+    shared = materialise(met.select("entry", F.col("rank").bitwiseAND(NODE).alias("node"), F.col("least").bitwiseAND(NODE).alias("b")), "shared")
     held.unpersist()
     release(twins)
-
-    # each set against the least of its entry; entries of one set alone, which a filled bit table lets pass, end here
-    least = met.groupBy("entry").agg(F.min("node").alias("b"), F.max("node").alias("high")).where("b < high").select("entry", "b")
-    shared = materialise(met.join(least, "entry"), "shared")
-    release(met)
     stars = materialise(shared.where("node <> b").select(F.col("node").alias("a"), "b").distinct(), "stars")
     links = verified_stars(stars, sets, t)
     release(stars)
@@ -474,24 +514,23 @@ def jaccard_components(df: DataFrame, threshold: str = "0.9", n: int = 3, id_col
     left = materialise(open_.join(one, "entry").join(sets.select("node", "n_shingles"), "node").select("entry", "node", "label", "n_shingles"), "left")
     release(open_)
 
-    def suspect(batches):
+    def suspect(ours, rows):
         # a cluster is named after its sets, so one that several entries or tiles give is compared once
-        for key, (ours, node, label, size, marks) in _by_tile(batches, 2):
-            name, found = [], []
-            for cluster in suspects(marks, np.array(size), t, label, np.array(ours) if key[1] != key[2] else None):
-                own = hashlib.blake2b(np.sort(np.array(node)[cluster]).tobytes(), digest_size=8).digest()
-                name += [int.from_bytes(own, "little", signed=True)] * len(cluster)
-                found += cluster.tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(name, pa.int64()), *(pa.array([x[k] for k in found], pa.int64()) for x in (node, label, size))], names=["entry", "node", "label", "n_shingles"])
-
-    def compare(batches):
-        for key, (ours, node, label, _, marks, data) in _by_tile(batches, 3):
-            found = links_within([np.frombuffer(x, "u8") for x in data], t, label, marks, np.array(ours) if key[1] != key[2] else None)
-            yield pa.RecordBatch.from_arrays([pa.array([node[k] for k, _ in found], pa.int64()), pa.array([node[k] for _, k in found], pa.int64())], names=["a", "b"])
-
-    near = materialise(_tiled(left, sets, ("sketch",), 0.25, TILE_BYTES // 32).mapInArrow(suspect, "entry bigint, node bigint, label bigint, n_shingles bigint").distinct(), "near")
+        (node, label, size, marks), name, found = rows, [], []
+        for cluster in suspects(marks, np.array(size), t, label, ours):
+            own = hashlib.blake2b(np.sort(np.array(node)[cluster]).tobytes(), digest_size=8).digest()
+            name += [int.from_bytes(own, "little", signed=True)] * len(cluster)
+            found += cluster.tolist()
+        return pa.RecordBatch.from_arrays([pa.array(name, pa.int64()), *(pa.array([x[k] for k in found], pa.int64()) for x in (node, label, size))], names=["entry", "node", "label", "n_shingles"])
+
+    def compare(ours, rows):
+        node, label, _, marks, data = rows
+        found = links_within([np.frombuffer(x, "u8") for x in data], t, label, marks, ours)
+        return pa.RecordBatch.from_arrays([pa.array([node[k] for k, _ in found], pa.int64()), pa.array([node[k] for _, k in found], pa.int64())], names=["a", "b"])
+
+    near = materialise(_in_tiles(left, sets, ("sketch",), 0.25, TILE_BYTES // 32, suspect, "entry bigint, node bigint, label bigint, n_shingles bigint").distinct(), "near")
     release(left)
-    more = materialise(_tiled(near, sets, ("sketch", "elements"), 8.25, TILE_BYTES).mapInArrow(compare, "a bigint, b bigint"), "more")
+    more = materialise(_in_tiles(near, sets, ("sketch", "elements"), 8.25, TILE_BYTES, compare, "a bigint, b bigint"), "more")
     release(near)
     classes = components(classes.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
