@@ -328,6 +328,18 @@ def test_search_many_against_all_scores():
             floors = np.array([np.sort(scores)[-5] for _, scores, _ in found])
 
 
+def test_blocks_of_unlike_documents_are_dropped(spark):
+    rng = random.Random(3)
+    docs = [(d, " ".join(f"{'ab'[d % 2]}{rng.randrange(40)}" for _ in range(30))) for d in range(1024)]
+    row = search.build_index(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), 30.0).first()
+    shard = search.Shard.load(row["index"])
+    wanted = search.terms(docs[0][1])[0]
+    found, scores, scored = shard.search(wanted, np.ones(len(wanted)), 5, 0.0)
+    again, same, less = shard.search(wanted, np.ones(len(wanted)), 5, np.sort(scores)[-5])
+    assert sorted(row["ids"]) == list(range(1024)) and {row["ids"][d] % 2 for d in found} == {0}
+    assert set(found) == set(again) and sorted(scores) == sorted(same) and less <= 640 * len(wanted)
+
+
 def test_shards_reach_a_worker_one_by_one(spark):
     name, before = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
 
