@@ -44,6 +44,18 @@ def test_cache_is_bounded(monkeypatch):
     assert own.encode(texts) == want and len(own.units) + len(own.units.old) <= 20
 
 
+def remembered(own: tokens.UnitEncoder) -> int:
+    return sum(len(x) for x in vars(own).values() if isinstance(x, dict))
+
+
+def test_marks_and_line_ends_make_no_new_units():
+    names = [f"{a}{b}" for a in ("alpha", "Béta", "gam") for b in ("ton", "ring", "x", "os", "ma", "ñu")]
+    texts = [f"{a}.\n{b}, {a}&&& it's 12" for a in names for b in names]
+    own = tokens.UnitEncoder(BYTE, True)
+    assert own.encode(texts) == [np.array(e.ids, "<u4").tobytes() for e in tokens.tokenizer(BYTE).encode_batch_fast(texts, add_special_tokens=False)]
+    assert remembered(own) <= 2 * len(names) + 10
+
+
 def test_prefix_table_equals_library_at_every_prefix():
     own, lib = token_counts.counter(BYTE), tokens.tokenizer(BYTE)
     for text in ODD + mixed(120, 2):

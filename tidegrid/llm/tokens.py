@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import unicodedata
 from array import array
 
 import numpy as np
@@ -26,6 +27,20 @@ BYTE_PRE = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{
 WORD_PRE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|" + f"[^{SPACE}" + r"\p{L}\p{N}]+")
 #: Code points that no normaliser here changes but by plain lower case: ASCII, Latin-1, Latin Extended-A (composed; not I with dot).
 PLAIN = re.compile("[\x00-\u012f\u0131-\u017e]*")
+
+
+def _plain_pattern(last: int, spaced: bool) -> re.Pattern:
+    """BYTE_PRE (``spaced``) or WORD_PRE for texts without code points beyond ``last``: the same pre-tokens."""
+    of = lambda kind: "".join(re.escape(chr(c)) for c in range(last + 1) if unicodedata.category(chr(c))[0] == kind)
+    letter, digit, space = of("L"), of("N"), "".join(c for c in SPACE if ord(c) <= last)
+    other = f"[^{space}{letter}{digit}]+"
+    if spaced:  # no alternative but the second begins with an apostrophe before the fourth, so letters may come first
+        return re.compile(f" ?[{letter}]+|'(?:[sdmt]|ll|ve|re)| ?[{digit}]+| ?{other}|[{space}]+(?![^{space}])|[{space}]+")
+    return re.compile(f"[{letter}]+|'(?:[stmd]|re|ve|ll)|[{digit}]|{other}")
+
+
+#: By ``keep_space``, for ASCII and for PLAIN texts.
+PLAIN_PRE = {spaced: (_plain_pattern(0x7F, spaced), _plain_pattern(0x17F, spaced)) for spaced in (True, False)}
 #: A space with white space behind it or at the end (characters that only Python counts as such do no harm).
 RUN = re.compile(r" (?:\s|\Z)")
 #: Marks that are a pre-token of their own behind a word.
@@ -87,13 +102,35 @@ class Remembered(dict):
         return value
 
 
+class Merged(dict):
+    """Ids of pre-tokens by a merge model. The first ``most`` are remembered, until four times as many others were met."""
+
+    def __init__(self, model, most: int):
+        self.tokenize, self.most, self.others = model.tokenize, most, 0
+
+    def ids(self, piece: str) -> bytes:
+        symbols = piece.replace(" ", SYMBOLS[32]) if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(SYMBOLS)
+        return array("I", [t.id for t in self.tokenize(symbols)]).tobytes()
+
+    def __missing__(self, piece: str) -> bytes:
+        value = self.ids(piece)
+        if len(self) < self.most:
+            self[piece] = value
+        elif (others := self.others + 1) > 4 * self.most:
+            self.clear()
+            self.others = 0
+        else:
+            self.others = others
+        return value
+
+
 class UnitEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes, with a cache of units.
 
-    A pre-token by itself is a unit too, so both are remembered in one place. Units of ASCII and Latin letters
-    go to the library's merge model directly, by the pre-tokens that the file's pattern gives; all others, and
-    those with a special string, go through the whole library. A word with one mark behind it is put together
-    from both and not remembered.
+    A text of ASCII and Latin characters is cut into the pre-tokens that the file's pattern gives, and these go to the
+    library's merge model directly; each is remembered, so that a mark or a line's end behind a word makes no new unit.
+    Other texts, and those with a special string, go by units: those of ASCII and Latin letters likewise, all others
+    through the whole library. A word with one mark behind it is put together from both and not remembered.
     """
 
     def __init__(self, path: str, keep_space: bool):
@@ -101,16 +138,11 @@ class UnitEncoder:
         spec = json.loads(self.tokenizer.to_str())
         self.fold = any(n["type"] == "Lowercase" for n in (spec["normalizer"] or {}).get("normalizers", []))
         self.pattern = WORD_PRE if self.fold else BYTE_PRE
-        self.model = self.tokenizer.model
         most = 2 * CACHE_UNITS if keep_space else CACHE_UNITS  # the pipeline, whose stages share workers, uses the other kind
+        self.pieces = Merged(self.tokenizer.model, most)  # pre-tokens of plain texts
         self.units = Remembered(self._unit, most)
         self.spaced = Remembered(lambda word: self._unit(f" {word}"), most)  # by the word behind one space
 
-    def _merged(self, unit: str) -> bytes:
-        """Ids of one pre-token."""
-        symbols = unit if unit.isascii() and " " not in unit and unit.isprintable() else unit.encode().decode("latin-1").translate(SYMBOLS)
-        return array("I", [t.id for t in self.model.tokenize(symbols)]).tobytes()
-
     def _unit(self, unit: str) -> tuple[bytes, bool]:
         word = unit[1:] if unit[0] == " " and len(unit) > 1 else unit
         if word.isalpha():  # a word of letters, behind one space at most, is one pre-token
@@ -118,7 +150,7 @@ class UnitEncoder:
                 return self._whole(unit), True
             if self.fold and (low := unit.lower()) != unit:
                 return self.units[low], True
-            return self._merged(unit), True
+            return self.pieces.ids(unit), True
         if word[-1] in MARKS and word[:-1].isalpha() and PLAIN.fullmatch(word) is not None:
             return (self.spaced[word[:-1]] if word is not unit else self.units[unit[:-1]]) + self.units[word[-1]], False
         if PLAIN.fullmatch(unit) is None or "<|" in unit:
@@ -127,16 +159,20 @@ class UnitEncoder:
             unit = unit.lower()
         pieces = self.pattern.findall(unit)
         if len(pieces) == 1:
-            return self._merged(unit), True
+            return self.pieces.ids(unit), True
         return b"".join(map(self.units.__getitem__, pieces)), True
 
     def _whole(self, unit: str) -> bytes:
         return np.array(self.tokenizer.encode(unit, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        unit, spaced, out = self.units.__getitem__, self.spaced.__getitem__, []
+        unit, spaced, piece, out = self.units.__getitem__, self.spaced.__getitem__, self.pieces.__getitem__, []
+        ascii_pre, plain_pre = PLAIN_PRE[self.keep_space]
         for text in texts:
-            if not self.keep_space:
+            if (text.isascii() or PLAIN.fullmatch(text) is not None) and "<|" not in text:
+                pre = ascii_pre if text.isascii() else plain_pre
+                out.append(b"".join(map(piece, pre.findall(text.lower() if self.fold else text))))
+            elif not self.keep_space:
                 out.append(b"".join(map(unit, words(text))))
             elif text and RUN.search(text) is None:  # single spaces, each before a word: they go with it
                 first, *rest = text.split(" ")
