@@ -56,6 +56,14 @@ def test_marks_and_line_ends_make_no_new_units():
     assert remembered(own) <= 2 * len(names) + 10
 
 
+def test_joined_words_make_no_new_units():
+    names = [f"{a}{b}" for a in ("alpha", "Béta", "gam") for b in ("ton", "ring", "x", "os", "ma", "ñu")]
+    texts = [f"{a}-{b} {b}'s ({a})." for a in names for b in names]
+    own = tokens.UnitEncoder(WORD, False)
+    assert own.encode(texts) == [np.array(e.ids, "<u4").tobytes() for e in tokens.tokenizer(WORD).encode_batch_fast(texts, add_special_tokens=False)]
+    assert remembered(own) <= len(names) + 10
+
+
 def test_prefix_table_equals_library_at_every_prefix():
     own, lib = token_counts.counter(BYTE), tokens.tokenizer(BYTE)
     for text in ODD + mixed(120, 2):
