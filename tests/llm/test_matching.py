@@ -331,8 +331,8 @@ def test_search_many_against_all_scores():
 def test_blocks_of_unlike_documents_are_dropped(spark):
     rng = random.Random(3)
     docs = [(d, " ".join(f"{'ab'[d % 2]}{rng.randrange(40)}" for _ in range(30))) for d in range(1024)]
-    row = search.build_index(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), 30.0).first()
-    shard = search.Shard.load(row["index"])
+    row = search.build_index(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)).first()
+    shard = search.Shard.load(row["index"], 30.0)
     wanted = search.terms(docs[0][1])[0]
     found, scores, scored = shard.search(wanted, np.ones(len(wanted)), 5, 0.0)
     again, same, less = shard.search(wanted, np.ones(len(wanted)), 5, np.sort(scores)[-5])
