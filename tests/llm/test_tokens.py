@@ -5,7 +5,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from tidegrid.llm import packing, token_counts, tokens
+from tidegrid.llm import packing, quality, shared, token_counts, tokens
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 ODD = [
@@ -146,3 +146,28 @@ def test_evolution_over_islands(spark):
     assert max(fill.values()) <= 1000
     single = packing.pack_items(items, 1000, 3, islands=1, epochs=1, generations=0).select("sequence_id").distinct().count()
     assert len(fill) <= single
+
+
+def test_packing_places_items_without_copies_of_blocks(spark):
+    rng = random.Random(6)
+    lengths = [rng.randrange(1, 60) for _ in range(300)]
+    items = spark.createDataFrame([(i, None if i % 7 == 0 else f"d{i}", n) for i, n in enumerate(lengths)], "uid long, doc_id string, length long")
+    out = packing.pack_items(items, 100, 3)
+    assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()
+    rows, bins = out.collect(), {}
+    assert sorted((r.uid, r.doc_id, r.length) for r in rows) == [(i, None if i % 7 == 0 else f"d{i}", n) for i, n in enumerate(lengths)]
+    for r in sorted(rows, key=lambda r: r.offset):
+        assert r.offset == bins.get(r.sequence_id, 0)
+        bins[r.sequence_id] = r.offset + r.length
+    assert max(bins.values()) <= 100
+
+
+def test_caches_of_other_steps_are_dropped():
+    quality.word_buckets(["a", "word"])
+    own = tokens.encoder(WORD, False)
+    own.encode(["a word"])
+    shared.drop_caches(tokens.CACHES)
+    assert not quality._buckets and tokens.encoder(WORD, False) is own
+    shared.drop_caches()
+    assert not tokens._encoders and not tokens._loaded
+    assert tokens.encoder(WORD, False).encode(["a word"]) == own.encode(["a word"])

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidegrid.llm import tokens
-from tidegrid.llm.shared import materialise, release
+from tidegrid.llm.shared import drop_caches, materialise
 
 END_ID = (0).to_bytes(4, "little")
 
@@ -31,6 +31,7 @@ def token_pieces(df: DataFrame, path: str, capacity: int, id_col: str = "doc_id"
     schema = T.StructType([T.StructField("uid", T.LongType()), T.StructField("doc_id", source.schema[0].dataType), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())])
 
     def cut(batches):
+        drop_caches(tokens.CACHES)
         encoder = tokens.encoder(path, keep_space=False)
         uid = TaskContext.get().partitionId() << 36
         for batch in batches:
@@ -154,6 +155,7 @@ def pack_items(items: DataFrame, capacity: int, n_blocks: int, islands: int = 2,
     for epoch in range(epochs):
 
         def evolve(batches, epoch=epoch):
+            drop_caches()  # texts are encoded by now; what that took is free for the executor
             for batch in batches:
                 for row in batch.to_pylist():
                     own = Block(row["lengths"], capacity, random.Random(f"{seed} {epoch} {row['island']} {row['block']}"))
@@ -173,12 +175,26 @@ def pack_items(items: DataFrame, capacity: int, n_blocks: int, islands: int = 2,
             found = after if epoch == 0 else found.unionByName(after)
     found = after if epochs == 1 else found.unionByName(after)
     best = found.groupBy("block").agg(F.min_by(F.get("population", F.lit(0)), F.struct("bins", "island")).alias("bins"))
-    one = blocks.join(best, "block").select("block", "items", F.posexplode("bins").alias("bin", "members"))
-    # the offset within a bin is the sum of the lengths before it
-    one = one.select((F.col("block") * (1 << 24) + F.col("bin")).alias("sequence_id"), F.transform("members", lambda i: F.get("items", i)).alias("own"))
-    one = one.select("sequence_id", "own", F.posexplode("own").alias("at", "item"))
-    offset = F.aggregate(F.slice(F.col("own.length"), F.lit(1), F.col("at")), F.lit(0).cast("bigint"), lambda a, n: a + n)
-    return one.select(*[F.col(f"item.{c}").alias(c) for c in items.columns], "sequence_id", offset.alias("offset"))
+    schema = T.StructType([*blocks.schema["items"].dataType.elementType.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+
+    def place(batches):
+        for batch in batches:
+            for block, own, members in zip(*batch.columns, strict=True):
+                yield placed(block.as_py(), own.values, members.values)
+
+    # a row per block reaches Python: exploding bins natively copies a block's items once for each of its bins
+    return blocks.join(best, "block").select("block", "items", "bins").mapInArrow(place, schema).select(*items.columns, "sequence_id", "offset")
+
+
+def placed(block: int, items: pa.StructArray, bins: pa.ListArray) -> pa.RecordBatch:
+    """The items of a block in the order of its bins, with sequence_id and offset (the lengths before an item in its bin)."""
+    index, size = bins.flatten(), bins.value_lengths().to_numpy()
+    taken = items.take(index)
+    length = taken.field("length").to_numpy()
+    before = np.cumsum(length) - length
+    first = np.cumsum(size) - size  # no bin is empty
+    number = (block << 24) + np.arange(len(size), dtype="i8")
+    return pa.RecordBatch.from_arrays([*taken.flatten(), pa.array(np.repeat(number, size)), pa.array(before - np.repeat(before[first], size))], names=[*items.type.names, "sequence_id", "offset"])
 
 
 def pack(df: DataFrame, path: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", block_items: int = 4096, **how) -> DataFrame:

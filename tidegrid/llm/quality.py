@@ -19,11 +19,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidegrid.llm import tokens
+from tidegrid.llm.shared import register_caches
 
 BUCKETS, BINS, FACTORS = 1 << 15, 16, 8
 SYMBOLS = frozenset("#$%&*@^~=+<>{}\\")
 CACHE_WORDS = 60_000
 _buckets: dict[str, int] = {}
+CACHES = register_caches("quality", _buckets)
 
 
 def word_buckets(words: list[str]) -> list[int]:

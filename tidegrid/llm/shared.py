@@ -7,12 +7,14 @@ made for the session and the setting is filled in.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
 from contextlib import contextmanager
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,6 +87,28 @@ def one_by_one(spark: SparkSession):
         spark.conf.set(name, before)
 
 
+#: Caches of this process by operator. A Python worker serves one step after another, and its executor pays for all of them.
+_caches: dict[str, tuple[dict, ...]] = {}
+
+
+def register_caches(owner: str, *caches: dict) -> str:
+    """Make ``caches`` known to drop_caches() by the name ``owner``."""
+    _caches[owner] = caches
+    return owner
+
+
+def drop_caches(*keep: str) -> None:
+    """Empty the caches of all operators but ``keep`` in this process, and give free memory back to the system."""
+    gone = [c for owner, own in _caches.items() if owner not in keep for c in own if c]
+    for c in gone:
+        c.clear()
+    if gone:
+        gc.collect()  # an encoder refers to itself
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc keeps freed memory
+        trim(0)
+
+
 #: Bits of a filter: 4 MB whatever the corpus; a larger one only lets more pass.
 FILTER_BITS = 1 << 25
 

@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow.compute as pc
 import regex
 
+from tidegrid.llm.shared import register_caches
+
 #: The code points with Unicode's White_Space property.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 UNIT = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
@@ -183,6 +185,7 @@ class UnitEncoder:
 
 
 _encoders: dict[tuple[str, bool], UnitEncoder] = {}
+CACHES = register_caches("tokens", _encoders, _loaded)
 
 
 def encoder(path: str, keep_space: bool) -> UnitEncoder:
