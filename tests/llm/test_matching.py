@@ -307,6 +307,30 @@ def test_pruning_skips_postings():
     assert scored < everything / 4 and set(found[np.argsort(-scores)[:5]]) <= set(range(640, 660))
 
 
+def test_survivors_of_many_queries_are_scored_at_once(monkeypatch):
+    rng = random.Random(9)
+    docs = [Counter(rng.randrange(200) for _ in range(rng.randrange(0, 50))) for _ in range(500)]
+    shard = search.Shard([(np.array(list(d), "u8"), np.array(list(d.values()), "f4")) for d in docs], 25.0)
+    asked = [(np.array(list(d) + [10**6], "u8"), np.array([1.0 + t / 99 for t in d] + [9.0])) for d in docs[:90]]
+    common, gathered, before = np.arange(20, dtype="u8"), [], search._ranges
+    split = [search._split(t, w, common) for t, w in asked]
+    terms = np.unique(np.concatenate([x[2] for x in split]))
+    many = [(c, w, np.searchsorted(terms, t), i) for c, w, t, i in split]
+    monkeypatch.setattr(search, "_ranges", lambda lo, hi: gathered.append(len(lo)) or before(lo, hi))
+    part = lambda d, t: d[t] * 2.2 / (d[t] + 1.2 * (0.25 + 0.75 * sum(d.values()) / 25.0))
+    for most in (1 << 16, 100, 1):  # all at once, some, one query's at a time
+        monkeypatch.setattr(search, "EXACT", most)
+        dense, places = search.Dense(shard, common), shard.places(terms)
+        gathered.clear()
+        found = list(shard.search_many(many, places, 5, np.zeros(len(many)), dense))
+        assert most < 1 << 16 or len(gathered) <= -(-len(many) // search.GATHER) + 1
+        for (ids, scores, _), (t, w) in zip(found, asked, strict=True):
+            want = np.array([sum(i * part(d, x) for x, i in zip(t.tolist(), w.tolist(), strict=True) if x in d) for d in docs])
+            assert np.allclose(want[ids], scores, rtol=0, atol=1e-9)
+            assert len(t) == 1 or set(np.flatnonzero(want >= np.sort(want)[-5])) <= set(ids.tolist())
+    assert not shard.weight.any()
+
+
 def test_search_many_against_all_scores():
     rng = random.Random(8)
     docs = [Counter(min(int(rng.paretovariate(0.6)), 3000) for _ in range(rng.randrange(1, 60))) for _ in range(700)]
