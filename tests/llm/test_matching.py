@@ -295,6 +295,27 @@ def test_search(spark, sf_dir, monkeypatch):
     assert search.top_k(left.limit(0), right).count() == 0
 
 
+def test_equal_texts_are_scored_once(spark, monkeypatch):
+    monkeypatch.setattr(search, "SHARD_DOCS", 9)
+    monkeypatch.setattr(search, "QUERY_TERMS", 40)
+    rng, asked = random.Random(12), []
+    plain = [" ".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(1, 12))) for _ in range(30)]
+    docs = [(i, plain[i % 30]) for i in range(180)] + [(None, plain[3]), (None, plain[3]), (7, plain[3]), (900, ""), (901, ""), (902, None)]
+    rng.shuffle(docs)
+    queries = [(i, plain[i % 30]) for i in range(0, 180, 4)] + [(500, plain[1].upper() + "!"), (501, ""), (501, plain[2])]
+    monkeypatch.setattr(search, "_common", lambda asking, n, own=search._common: asked.append(len(asking)) or own(asking, n))
+    left, right = (spark.createDataFrame(x, "doc_id long, text string").repartition(3) for x in (docs, queries))
+    got = sorted((tuple(r) for r in search.top_k(left, right, k=8).collect()), key=lambda r: r[:2])
+    want = sorted(brute_top(docs, [(q, t) for q, t in queries if t], 8), key=lambda r: r[:2])
+    assert [r[:3] for r in got] == [r[:3] for r in want]
+    assert all(abs(a[3] - b[3]) < 2e-6 for a, b in zip(got, want, strict=True))
+    assert sum(asked) == len({frozenset(words(t)) for _, t in queries if t})
+    index = search.build_index(left, 8).collect()
+    assert sum(len(r.ids) for r in index) <= 32 and sum(sum(r.copies) for r in index) == len(docs)
+    every = [[x, *more] for r in index for x, more in zip(r.ids, r.others, strict=True)]
+    assert max(map(len, every)) == 8 and [None, None, 3, 7, 33, 63, 93, 123] in every
+
+
 def test_pruning_skips_postings():
     rng = random.Random(2)
     docs = [Counter({rng.randrange(50): 1 for _ in range(20)}) for _ in range(2000)]
