@@ -196,6 +196,21 @@ def test_compressed_file(spark, tmp_path):
         own.verify_file(path, arrays.raw_layout(path, "int16", 10))
 
 
+def test_digests_are_folded_off_the_driver(spark, tmp_path, monkeypatch):
+    import hashlib
+
+    x = full_range("int16", (2350, 4), seed=11)
+    x.tofile(tmp_path / "x.bin")
+    monkeypatch.setattr(type(spark.range(1)), "toLocalIterator", lambda *a, **k: pytest.fail("rows are brought to the driver"))
+    figures = compress(spark, str(tmp_path / "x.bin"), sample_rate=100.0, n_channels=4, dtype="int16", chunk_duration=0.1)
+    own = SignalStore.open_cbin(spark, figures["out"])
+    own.check_file_digest()
+    mixed = SignalStore(own.chunks.repartition(7, "payload"), own.meta)
+    assert mixed.sha1_uncompressed() == figures["sha1_uncompressed"] == hashlib.sha1(x.tobytes()).hexdigest()
+    assert mixed.sha1_compressed() == hashlib.sha1((tmp_path / "x.cbin").read_bytes()).hexdigest()
+    assert SignalStore(own.chunks.limit(0), own.meta).sha1_compressed() == hashlib.sha1().hexdigest()
+
+
 def test_raw_and_npy_sources(spark, tmp_path):
     x = full_range("int16", (30, 4))
     path = str(tmp_path / "r.bin")

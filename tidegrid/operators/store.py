@@ -13,6 +13,7 @@ import logging
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -156,7 +157,7 @@ class SignalStore:
     def write_cbin(self, out: str, outmeta: str | None = None, overwrite: bool = False) -> dict:
         """Write one compressed file and its JSON header; returns ratio, bytes and both digests.
 
-        The digest of the whole uncompressed signal is a fold over all samples in order, on the driver; it is taken
+        The digest of the whole uncompressed signal is a fold over all samples in order, in one task; it is taken
         only if results are to be checked, else it is null. The file is put together on the driver from parts
         that the tasks wrote; save() has no such step and is the way to keep large signals.
         """
@@ -344,19 +345,26 @@ class SignalStore:
             raise IntegrityError("the compressed file does not have the digest in its header")
 
     def sha1_uncompressed(self) -> str:
-        """SHA-1 of the signal as one flat file: a fold over the chunks in order, one at a time."""
-        whole = hashlib.sha1()
-        raw = decode_bytes_frame(self.chunks, self.meta.dtype, self.meta.n_channels, self.meta.config)
-        for r in raw.orderBy("chunk_idx").toLocalIterator():
-            whole.update(bytes(r.payload))
-        return whole.hexdigest()
+        """SHA-1 of the signal as one flat file."""
+        return _sha1(decode_bytes_frame(self.chunks, self.meta.dtype, self.meta.n_channels, self.meta.config))
 
     def sha1_compressed(self) -> str:
         """SHA-1 of all payloads in order of chunks."""
+        return _sha1(self.chunks.select("chunk_idx", "payload"))
+
+
+def _sha1(payloads: DataFrame) -> str:
+    """SHA-1 of the payloads in order of chunk_idx: a fold in one task, as its nature is; only the digest reaches the driver."""
+
+    def fold(batches):
         whole = hashlib.sha1()
-        for r in self.chunks.select("chunk_idx", "payload").orderBy("chunk_idx").toLocalIterator():
-            whole.update(bytes(r.payload))
-        return whole.hexdigest()
+        for batch in batches:
+            for payload in batch.column(1):
+                whole.update(payload.as_buffer())
+        yield pa.RecordBatch.from_arrays([pa.array([whole.hexdigest()])], names=["sha1"])
+
+    found = payloads.repartition(1).sortWithinPartitions("chunk_idx").mapInArrow(fold, "sha1 string").first()
+    return found[0] if found else hashlib.sha1().hexdigest()
 
 
 def compress(spark: SparkSession, path: str, out: str | None = None, outmeta: str | None = None, sample_rate: float | None = None, n_channels: int | None = None, dtype: str | None = None, offset: int = 0, before_check=None, overwrite: bool = False, **settings) -> dict:
